@@ -111,8 +111,8 @@ def tags_of(source: str, key: str, text: str, rules: dict[str, list[str]], limit
     """A statement giving (key, tags) for every row of ``source``."""
     listed = [(p, i, k, tag) for p, (k, tags) in enumerate(rules.items()) for i, tag in enumerate(tags)]
     return f"""
-    (WITH {values('rules', 'pos, at, keyword, tag', listed)},
-     hits AS (SELECT {key} AS k, tag, min(pos * 10 + at) AS place FROM {source}, rules
+    (WITH {values('rules', 'pos, nth, keyword, tag', listed)},
+     hits AS (SELECT {key} AS k, tag, min(pos * 10 + nth) AS place FROM {source}, rules
               WHERE contains({text}, keyword) GROUP BY ALL),
      kept AS (SELECT k, tag, place, row_number() OVER (PARTITION BY k ORDER BY place) AS n FROM hits),
      joined AS (SELECT k, string_agg(tag, '|' ORDER BY place) AS tags FROM kept WHERE n <= {limit} GROUP BY k)
@@ -202,17 +202,17 @@ ORACLE["equality_filter"] = "SELECT doc_id, source FROM documents WHERE lang = '
 
 FIRST_ROWS = "firsts AS (SELECT name, min(dataid) AS dataid FROM kb GROUP BY name)"
 ORACLE["exact_lookup"] = f"""{with_(KB_CTE, REQUESTS_CTE, FIRST_ROWS)}
-SELECT qid, wanted, dataid FROM requests LEFT JOIN firsts ON wanted = name"""
+SELECT qid, wanted, coalesce(dataid, 0) AS dataid FROM requests LEFT JOIN firsts ON wanted = name"""
 ORACLE["fuzzy_lookup"] = f"""{with_(KB_CTE, REQUESTS_CTE, FIRST_ROWS)},
 partial AS (SELECT wanted, min(dataid) AS dataid FROM (SELECT DISTINCT wanted FROM requests), kb
             WHERE contains(wanted, name) OR contains(name, wanted) GROUP BY wanted)
-SELECT qid, r.wanted AS wanted, coalesce(firsts.dataid, partial.dataid) AS dataid,
+SELECT qid, r.wanted AS wanted, coalesce(firsts.dataid, partial.dataid, 0) AS dataid,
        CASE WHEN firsts.dataid IS NOT NULL THEN 'exact' WHEN partial.dataid IS NOT NULL THEN 'contains' END AS how
 FROM requests r LEFT JOIN firsts ON r.wanted = name LEFT JOIN partial ON r.wanted = partial.wanted"""
 ORACLE["fuzzy_lookup_oneway"] = f"""{with_(KB_CTE, REQUESTS_CTE)},
 partial AS (SELECT wanted, min(dataid) AS dataid FROM (SELECT DISTINCT wanted FROM requests), kb
             WHERE contains(name, wanted) GROUP BY wanted)
-SELECT qid, r.wanted AS wanted, dataid FROM requests r LEFT JOIN partial ON r.wanted = partial.wanted"""
+SELECT qid, r.wanted AS wanted, coalesce(dataid, 0) AS dataid FROM requests r LEFT JOIN partial ON r.wanted = partial.wanted"""
 
 # --- rule answers --------------------------------------------------------------
 
@@ -223,11 +223,11 @@ KEYWORDS_CTE = values(
 INTENTS = f"""{KEYWORDS_CTE},
 counted AS (SELECT qid, intent, pos, n, count(*) AS hits FROM questions, keywords
             WHERE contains(text, keyword) GROUP BY ALL),
-leading AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, pos) AS place FROM counted),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, pos) AS place FROM counted),
 intents AS (
   SELECT q.qid, CASE WHEN hits / n >= {C.MIN_INTENT_CONFIDENCE} THEN intent ELSE 'UNKNOWN' END AS intent,
          CASE WHEN hits / n >= {C.MIN_INTENT_CONFIDENCE} THEN least(hits / n, 1.0) ELSE 0.0 END AS confidence
-  FROM questions q LEFT JOIN leading l ON q.qid = l.qid AND place = 1)"""
+  FROM questions q LEFT JOIN ranked l ON q.qid = l.qid AND place = 1)"""
 ORACLE["keyword_intent"] = (
     f"{with_(QUESTIONS_CTE, INTENTS)} SELECT qid, intent, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM intents"
 )
@@ -520,7 +520,7 @@ SELECT label, round(CAST(p AS DOUBLE), 6) AS precision, round(CAST(r AS DOUBLE),
        (SELECT round(avg(CASE WHEN label = predicted THEN 1.0 ELSE 0.0 END), 6) FROM guessed) AS accuracy
 FROM ratios"""
 ORACLE["softmax_confidence"] = """
-SELECT vec_id, list_position(s, list_max(s)) - 1 AS best,
+SELECT vec_id, CAST(list_position(s, list_max(s)) - 1 AS BIGINT) AS best,
        round(exp(list_max(s)) / list_sum(list_transform(s, lambda x: exp(x))), 6) AS confidence
 FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS s FROM embeddings)"""
 

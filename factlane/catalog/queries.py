@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factlane.catalog.views import Tables
 from factlane.config import ClassifierConfig, RetrievalConfig
@@ -52,7 +53,7 @@ def query(function: Callable[[Tables], DataFrame]) -> Query:
     return run
 
 
-def r6(column) -> F.Column:
+def r6(column) -> Column:
     return F.round(column, 6)
 
 
@@ -216,17 +217,17 @@ def equality_filter(t: Tables) -> DataFrame:
 
 @query
 def exact_lookup(t: Tables) -> DataFrame:
-    return lookup.exact_lookup(t.requests, t.kb)
+    return lookup.exact_lookup(t.requests, t.kb).fillna(0, ["dataid"])
 
 
 @query
 def fuzzy_lookup(t: Tables) -> DataFrame:
-    return lookup.fuzzy_lookup(t.requests, t.kb)
+    return lookup.fuzzy_lookup(t.requests, t.kb).fillna(0, ["dataid"])
 
 
 @query
 def fuzzy_lookup_oneway(t: Tables) -> DataFrame:
-    return lookup.fuzzy_lookup_one_way(t.requests, t.kb)
+    return lookup.fuzzy_lookup_one_way(t.requests, t.kb).fillna(0, ["dataid"])
 
 
 # --- rule answers --------------------------------------------------------------
@@ -603,7 +604,7 @@ def compare_methods(t: Tables) -> DataFrame:
 RAW_SHORT = ["name", "address", "rating", "ticket", "open_time", "suggest", "intro", "tips"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _gbk_bytes_as_latin(cells: pd.Series) -> pd.Series:
     return cells.map(lambda c: None if c is None else c.encode("gbk").decode("latin-1"))
 

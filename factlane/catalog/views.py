@@ -61,7 +61,7 @@ SELECT c_custkey AS qid,
          ELSE concat(n_name, '的', wanted, '是什么类型')
        END AS text
 FROM (SELECT c_custkey, c_nationkey,
-             concat('Supplier#', lpad(CAST(c_custkey % 1200 AS STRING), 9, '0')) AS wanted,
+             concat('Supplier#', lpad(CAST(CAST(floor(c_custkey / 14) AS BIGINT) AS STRING), 9, '0')) AS wanted,
              concat('Supplier#', lpad(CAST(c_custkey % 97 AS STRING), 9, '0')) AS other
       FROM customer) AS c
 JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
@@ -71,10 +71,10 @@ JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionke
 REQUESTS = """
 SELECT c_custkey AS qid,
        CASE c_custkey % 4
-         WHEN 0 THEN concat('Supplier#', lpad(CAST(c_custkey % 1200 AS STRING), 9, '0'))
-         WHEN 1 THEN substr(concat('Supplier#', lpad(CAST(c_custkey % 1200 AS STRING), 9, '0')), 2, 15)
-         WHEN 2 THEN concat('Supplier#', lpad(CAST(c_custkey % 1200 AS STRING), 9, '0'), '分店')
-         ELSE concat('lier#', lpad(CAST(c_custkey % 1200 AS STRING), 9, '0'))
+         WHEN 0 THEN concat('Supplier#', lpad(CAST(CAST(floor(c_custkey / 14) AS BIGINT) AS STRING), 9, '0'))
+         WHEN 1 THEN substr(concat('Supplier#', lpad(CAST(CAST(floor(c_custkey / 14) AS BIGINT) AS STRING), 9, '0')), 2, 15)
+         WHEN 2 THEN concat('Supplier#', lpad(CAST(CAST(floor(c_custkey / 14) AS BIGINT) AS STRING), 9, '0'), '分店')
+         ELSE concat('lier#', lpad(CAST(CAST(floor(c_custkey / 14) AS BIGINT) AS STRING), 9, '0'))
        END AS wanted
 FROM customer
 """

@@ -48,4 +48,4 @@ class ClassifierConfig:
     max_iter: int = 20
     train_fraction: float = 0.8
     seed: int = 42
-    parallelism: int = 4
+    parallelism: int = 8

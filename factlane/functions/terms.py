@@ -41,11 +41,22 @@ def word_tokens(text: Column) -> Column:
     )
 
 
-def grams(chars: Column, length: Column | int) -> Column:
-    """Every substring of ``length`` characters; an empty array if there is none."""
+CHUNK = 64
+
+
+def grams(text: Column, length: Column | int) -> Column:
+    """Every substring of ``length`` characters; an empty array if there is none.
+
+    Characters of a string are found by counting from its start, so the text is
+    cut into short overlapping chunks first: the cost stays near linear for long texts.
+    """
     length = F.lit(length) if isinstance(length, int) else length
-    starts = F.sequence(F.lit(1), F.size(chars) - length + 1)
-    return F.when(
-        F.size(chars) >= length,
-        F.transform(starts, lambda i: F.array_join(F.slice(chars, i, length), "")),
-    ).otherwise(F.array().cast("array<string>"))
+    starts = F.sequence(F.lit(1), F.length(text) - length + 1, F.lit(CHUNK))
+    chunks = F.transform(starts, lambda s: F.substr(text, s, length + (CHUNK - 1)))
+    pieces = F.transform(
+        chunks,
+        lambda c: F.transform(
+            F.sequence(F.lit(1), F.length(c) - length + 1), lambda i: F.substr(c, i, length)
+        ),
+    )
+    return F.when(F.length(text) >= length, F.flatten(pieces)).otherwise(F.array().cast("array<string>"))

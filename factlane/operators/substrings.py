@@ -15,8 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlane.functions.terms import characters, grams
-from factlane.scale import SALTS, Size, durable, text_bytes
+from factlane.functions.terms import grams
+from factlane.scale import SALTS, Size, durable, spread_small, text_bytes
 
 ANCHOR_LENGTHS = (16, 8, 4, 2, 1)
 
@@ -52,7 +52,7 @@ def build_substring_index(dictionary: DataFrame, value: str = "value") -> Substr
     values = entries.select("value").distinct()
     pieces = values.select(
         "value",
-        F.explode(F.array_distinct(grams(characters(F.col("value")), anchor_length(F.col("value"))))).alias("piece"),
+        F.explode(F.array_distinct(grams(F.col("value"), anchor_length(F.col("value"))))).alias("piece"),
     )
     frequency = pieces.groupBy("piece").agg(F.count("*").alias("n"))
     anchors = (
@@ -71,10 +71,9 @@ def build_substring_index(dictionary: DataFrame, value: str = "value") -> Substr
 
 
 def text_pieces(texts: DataFrame, key: str, text: str, lengths: tuple[int, ...], keep_text: bool) -> DataFrame:
-    chars = texts.select(F.col(key), F.col(text).alias("_text"), characters(F.col(text)).alias("_chars"))
-    per_length = [F.array_distinct(grams(F.col("_chars"), n)) for n in lengths]
-    kept = [F.col(key)] + ([F.col("_text")] if keep_text else [])
-    return chars.select(*kept, F.explode(F.concat(*per_length)).alias("anchor"))
+    per_length = [F.array_distinct(grams(F.col(text), n)) for n in lengths]
+    kept = [F.col(key)] + ([F.col(text).alias("_text")] if keep_text else [])
+    return texts.select(*kept, F.explode(F.concat(*per_length)).alias("anchor"))
 
 
 def find_substrings(
@@ -97,7 +96,7 @@ def find_substrings(
     if broadcast is None:
         broadcast = index.size.fits()
     payload = [c for c in entries.columns if c != "anchor"]
-    present = texts.where(F.col(text).isNotNull())
+    present = spread_small(texts.where(F.col(text).isNotNull()))
     if broadcast:
         pieces = text_pieces(present, key, text, index.lengths, keep_text=True)
         found = pieces.join(F.broadcast(entries), "anchor").where(F.col("_text").contains(F.col("value")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlane.functions.terms import adjacent, characters, padded, word_tokens
+from factlane.scale import durable
 
 
 def _count_terms(texts: DataFrame, key: str, terms: Column) -> DataFrame:
@@ -137,7 +138,8 @@ class TermIndex:
 def build_index(documents: DataFrame, text: str, max_features: int, key: str = "doc_id") -> TermIndex:
     """Character TF-IDF of ``documents``; every other column is kept beside the vector."""
     counts = char_terms(documents, key, text)
-    vocabulary = numbered(prune_vocabulary(term_idf(counts, documents), documents, max_features))
+    # written once: documents and, later, every set of queries are weighted by it
+    vocabulary = durable(numbered(prune_vocabulary(term_idf(counts, documents), documents, max_features)))
     packed = vectors(counts, key, vocabulary)
     indexed = documents.join(packed, key, "left")
     return TermIndex(

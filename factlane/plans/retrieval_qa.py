@@ -18,7 +18,7 @@ from factlane.operators.retrieval import Scoring, top_documents
 from factlane.operators.substrings import SubstringIndex
 from factlane.operators.termindex import TermIndex, build_index, query_vectors
 from factlane.plans.rule_qa import entity_struct
-from factlane.scale import salted_lookup
+from factlane.scale import durable, salted_lookup
 
 Generator = Callable[[DataFrame], DataFrame]
 
@@ -39,7 +39,9 @@ def row_documents(kb: DataFrame) -> DataFrame:
 
 
 def document_index(kb: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> TermIndex:
-    return build_index(row_documents(kb), "content", config.max_features)
+    """The index of a knowledge base; its documents are written out once, since
+    counting, weighting, scoring and prompting all read them."""
+    return build_index(durable(row_documents(kb)), "content", config.max_features)
 
 
 def retrieve(
@@ -88,7 +90,7 @@ def hybrid_hits(questions: DataFrame, kb: DataFrame, config: RetrievalConfig = R
     """Top-k hits with their documents' fields."""
     index = document_index(kb, config)
     hits = retrieve(questions, index, entity_index(kb), config)
-    return with_documents(hits, row_documents(kb))
+    return with_documents(hits, index.documents)
 
 
 def score_breakdown(hits: DataFrame) -> DataFrame:
@@ -226,8 +228,7 @@ def retrieval_qa(
     intent_confidence, entities, matched), one row per question."""
     index = index or document_index(kb, config)
     entities = entities or entity_index(kb)
-    documents = row_documents(kb)
-    hits = with_documents(retrieve(questions, index, entities, config), documents)
+    hits = with_documents(retrieve(questions, index, entities, config), index.documents)
     # k hits per question at most
     listed = hits.groupBy("qid").agg(
         F.array_sort(

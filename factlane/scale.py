@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_ROWS = 500_000
 SALTS = 16
+INPUT_SPLIT = 128 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,6 +70,19 @@ def text_bytes(*columns: str):
     return total
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Uses all cores where the input alone would not.
+
+    A small table in one file is one task, however much work each row makes.  A
+    table of more than one input split per core is left as it lies, so what this
+    moves is bounded by cores x split size.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if estimate <= cores * INPUT_SPLIT else df
+
+
 def salted_lookup(facts: DataFrame, dim: DataFrame, on: str, spread, salts: int = SALTS) -> DataFrame:
     """Left join of ``facts`` to ``dim``, which has one row per ``on``.
 

@@ -15,6 +15,7 @@ from urllib.parse import unquote
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factlane.constants import CSV_NULLS, RAW_COLUMNS
 from factlane.operators.rows import union_all, with_columns_or_null
@@ -24,7 +25,7 @@ UTF8 = "utf-8"
 BYTES = "ISO-8859-1"
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _is_gbk(lines: pd.Series) -> pd.Series:
     def valid(line: bytes) -> bool:
         try:
@@ -36,7 +37,7 @@ def _is_gbk(lines: pd.Series) -> pd.Series:
     return lines.map(valid)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode_gbk(cells: pd.Series) -> pd.Series:
     return cells.map(lambda cell: None if cell is None else cell.decode(GBK))
 
