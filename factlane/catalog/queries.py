@@ -18,7 +18,7 @@ from factlane.operators import classifier, lexicon, lookup, rows, stats, termind
 from factlane.operators.retrieval import Scoring, score_totals, top_documents
 from factlane.operators.substrings import build_substring_index, find_substrings
 from factlane.plans import classify_qa, dispatch, ingest, retrieval_qa, rule_qa
-from factlane.scale import scratch_path
+from factlane.scale import durable, scratch_path, spread_small
 from factlane.schemas import KB_COLUMNS
 from factlane.sources import city_csv, tables
 from factlane.streaming import answers
@@ -481,23 +481,23 @@ def word_bigrams(t: Tables) -> DataFrame:
     return termindex.word_bigrams(t.documents, "doc_id", "text")
 
 
-def _vocabulary(t: Tables) -> tuple[DataFrame, DataFrame]:
+def _vocabulary(t: Tables) -> DataFrame:
     config = ClassifierConfig()
-    counts = termindex.word_and_pair_terms(t.documents, "doc_id", "text")
-    terms = termindex.term_idf(counts, t.documents)
-    return counts, termindex.prune_vocabulary(terms, t.documents, config.max_features, config.min_df, config.max_df)
+    terms = termindex.term_idf(termindex.word_and_pair_terms(t.documents, "doc_id", "text"), t.documents)
+    return termindex.prune_vocabulary(terms, t.documents, config.max_features, config.min_df, config.max_df)
 
 
 @query
 def vocab_prune(t: Tables) -> DataFrame:
-    return _vocabulary(t)[1].select("term", "df", "cf")
+    return _vocabulary(t).select("term", "df", "cf")
 
 
 @query
 def tfidf_sublinear(t: Tables) -> DataFrame:
-    counts, vocabulary = _vocabulary(t)
-    weighted = termindex.weights(counts, "doc_id", vocabulary, sublinear=True)
-    return weighted.select("doc_id", "term", r6("weight").alias("weight"))
+    vocabulary = durable(termindex.numbered(_vocabulary(t)))
+    counted = termindex.with_word_counts(spread_small(t.documents.select("doc_id", "text")), "text")
+    weighted = termindex.with_vectors(counted, vocabulary, sublinear=True)
+    return termindex.postings(weighted, vocabulary, "doc_id").select("doc_id", "term", r6("weight").alias("weight"))
 
 
 @query

@@ -17,10 +17,9 @@ def characters(text: Column) -> Column:
     return F.split(text, "")
 
 
-def padded(text: Column) -> Column:
-    """Lower-cased words, one space around each; '' if there is no word."""
-    words = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SPACES, " "))
-    return F.when(words != "", F.concat(F.lit(" "), words, F.lit(" "))).otherwise(F.lit(""))
+def gap_words(text: Column) -> Column:
+    """Lower-cased words with one space between them."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SPACES, " "))
 
 
 def adjacent(items: Column, joiner: str = "") -> Column:

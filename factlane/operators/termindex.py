@@ -1,54 +1,107 @@
-"""TF-IDF as tables: term counts, vocabulary, weights, row vectors."""
+"""TF-IDF as tables: term counts, vocabulary, weights, row vectors.
+
+A text is one row, so its term counts, weights and length are computed inside
+that row by array functions.  The corpus is never shuffled: only the term
+statistics are, after each task has summed its own, and the vocabulary that
+comes out of them is limited and reaches the rows as a constant.
+"""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlane.functions.terms import adjacent, characters, padded, word_tokens
-from factlane.scale import durable
+from factlane.functions.terms import adjacent, characters, gap_words, word_tokens
+from factlane.scale import durable, spread_small
+
+BUCKETS = 8192
+COUNTS = "_counts"
+COUNT_TYPE = "array<struct<term: string, tf: bigint>>"
 
 
-def _count_terms(texts: DataFrame, key: str, terms: Column) -> DataFrame:
-    """(key, term, tf).
+def with_counts(
+    texts: DataFrame, terms: Callable[[DataFrame], Column], correct: Callable[[Column, Column], Column] | None = None
+) -> DataFrame:
+    """Adds the array of (term, tf) of each row, in term order.
 
-    ``texts`` is spread by key first.  Counting by (key, term) can then stay
-    where it is: the only shuffle moves each text once, not its many terms.
+    Equal terms are neighbours once sorted, so a term's count is the distance
+    from where it starts to where the next one does.  The steps are separate
+    projections, so that none is evaluated again inside the next one.
     """
-    spread = texts.repartition(key)
-    return spread.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    ordered = texts.withColumn("_sorted", F.sort_array(terms(texts)))
+    term_at = lambda i: F.get(F.col("_sorted"), i)
+    places = F.when(F.size("_sorted") > 0, F.sequence(F.lit(0), F.size("_sorted") - 1)).otherwise(
+        F.array().cast("array<int>")
+    )
+    started = ordered.withColumn(
+        "_starts", F.filter(places, lambda i: (i == 0) | (term_at(i) != term_at(i - 1)))
+    )
 
+    def entry(start: Column, place: Column) -> Column:
+        following = F.coalesce(F.get(F.col("_starts"), place + 1), F.size("_sorted"))
+        n = (following - start).cast("long")
+        term = term_at(start)
+        return F.struct(term.alias("term"), (correct(term, n) if correct else n).alias("tf"))
 
-def char_terms(texts: DataFrame, key: str, text: str) -> DataFrame:
+    return started.withColumn(COUNTS, F.transform("_starts", entry)).drop("_sorted", "_starts")
+
+
+def with_char_counts(texts: DataFrame, text: str) -> DataFrame:
     """Single characters and character pairs of each space-padded word, with counts.
 
     Pairs are taken from all words in one go, written with one space between
     them: no pair reaches over a space.  A space is then counted once per gap,
     where the words padded one by one have two each.
     """
-    prepared = texts.select(key, padded(F.col(text)).alias("_padded")).where(F.col("_padded") != "")
-    split = prepared.repartition(key).select(key, characters(F.col("_padded")).alias("_chars"))
-    terms = F.concat(F.col("_chars"), adjacent(F.col("_chars")))
-    counted = split.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
-    return counted.select(key, "term", F.when(F.col("term") == " ", 2 * (F.col("n") - 1)).otherwise(F.col("n")).alias("tf"))
+    words = texts.withColumn("_words", gap_words(F.col(text)))
+    chars = words.withColumn("_chars", characters(F.concat(F.lit(" "), "_words", F.lit(" "))))
+    counted = with_counts(
+        chars,
+        lambda _: F.when(F.col("_words") != "", F.concat(F.col("_chars"), adjacent(F.col("_chars")))).otherwise(
+            F.array().cast("array<string>")
+        ),
+        lambda term, n: F.when(term == " ", 2 * (n - 1)).otherwise(n),
+    )
+    return counted.drop("_words", "_chars")
+
+
+def with_word_counts(texts: DataFrame, text: str, words: bool = True, pairs: bool = True) -> DataFrame:
+    """Words and pairs of neighbouring words, with counts."""
+    tokens = texts.withColumn("_tokens", word_tokens(F.col(text)))
+    wanted = ([F.col("_tokens")] if words else []) + ([adjacent(F.col("_tokens"), " ")] if pairs else [])
+    return with_counts(tokens, lambda _: F.concat(*wanted)).drop("_tokens")
+
+
+def _rows(counted: DataFrame, key: str) -> DataFrame:
+    """The counts as rows.
+
+    The outer form, since for the inner one the optimiser adds a test for empty
+    arrays, moves it below all projections and so computes the counts twice.
+    """
+    return counted.select(key, F.inline_outer(COUNTS)).where(F.col("term").isNotNull())
+
+
+def char_terms(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf) of characters and character pairs."""
+    return _rows(with_char_counts(spread_small(texts.select(key, text)), text), key)
 
 
 def word_terms(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Words with counts."""
-    return _count_terms(texts.select(key, text), key, word_tokens(F.col(text)))
+    """(key, term, tf) of words."""
+    return _rows(with_word_counts(spread_small(texts.select(key, text)), text, pairs=False), key)
 
 
 def word_bigrams(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Pairs of neighbouring words with counts."""
-    tokens = texts.select(key, word_tokens(F.col(text)).alias("_tokens"))
-    return _count_terms(tokens, key, adjacent(F.col("_tokens"), " "))
+    """(key, term, tf) of pairs of neighbouring words."""
+    return _rows(with_word_counts(spread_small(texts.select(key, text)), text, words=False), key)
 
 
 def word_and_pair_terms(texts: DataFrame, key: str, text: str) -> DataFrame:
-    tokens = texts.select(key, word_tokens(F.col(text)).alias("_tokens"))
-    return _count_terms(tokens, key, F.concat(F.col("_tokens"), adjacent(F.col("_tokens"), " ")))
+    return _rows(with_word_counts(spread_small(texts.select(key, text)), text), key)
 
 
 def term_idf(counts: DataFrame, texts: DataFrame) -> DataFrame:
@@ -76,45 +129,59 @@ def numbered(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.withColumn("idx", F.row_number().over(Window.orderBy("term")) - 1)
 
 
-def weights(counts: DataFrame, key: str, vocabulary: DataFrame, sublinear: bool = False) -> DataFrame:
-    """(key, term, idx?, weight), each row of ``key`` scaled to length one.
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
-    The vocabulary holds at most ``max_features`` rows, a bound that does not
-    grow with the data, so it is broadcast; norms reuse the partitioning by key.
+
+def _constant(vocabulary: DataFrame) -> Column:
+    """The vocabulary as one constant: an array of buckets of (term, idx, idf).
+
+    At most ``max_features`` terms, a bound that does not grow with the data, pass
+    through the driver; the optimiser folds the expression to a literal.
     """
-    tf = F.col("tf").cast("double")
-    if sublinear:
-        tf = 1 + F.log(tf)
-    extra = ["idx"] if "idx" in vocabulary.columns else []
-    raw = counts.join(F.broadcast(vocabulary.select("term", "idf", *extra)), "term").select(
-        key, "term", *extra, (tf * F.col("idf")).alias("raw")
-    )
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", *extra, (F.col("raw") / F.col("norm")).alias("weight"))
+    buckets: list[list[dict]] = [[] for _ in range(BUCKETS)]
+    for row in vocabulary.select("term", "idx", "idf", _bucket(F.col("term")).alias("bucket")).collect():
+        buckets[row["bucket"]].append({"term": row["term"], "idx": row["idx"], "idf": row["idf"]})
+    return F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<term: string, idx: int, idf: double>>>")
 
 
-def vectors(counts: DataFrame, key: str, vocabulary: DataFrame, sublinear: bool = False) -> DataFrame:
-    """(key, terms ARRAY<INT>, weights ARRAY<DOUBLE>), one row per text with any known term.
+def with_vectors(counted: DataFrame, vocabulary: DataFrame, sublinear: bool = False) -> DataFrame:
+    """Turns the counts of each row into ``terms`` (positions) and ``weights`` of length one.
 
-    Each array is bounded by the size of the vocabulary.
+    Terms that are not in the vocabulary are dropped; a row without any known term
+    has empty arrays.
     """
-    tf = F.col("tf").cast("double")
-    if sublinear:
-        tf = 1 + F.log(tf)
-    raw = counts.join(F.broadcast(vocabulary.select("term", "idf", "idx")), "term").select(
-        key, "idx", (tf * F.col("idf")).alias("raw")
-    )
-    packed = raw.groupBy(key).agg(
-        F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"),
-        F.collect_list(F.struct("idx", "raw")).alias("entries"),
-    )
-    return packed.select(
-        key,
-        F.transform("entries", lambda e: e["idx"]).alias("terms"),
-        F.transform("entries", lambda e: e["raw"] / F.col("norm")).alias("weights"),
+    buckets = _constant(vocabulary)
+
+    def found(entry: Column) -> Column:
+        bucket = F.get(buckets, _bucket(entry["term"]))
+        match = F.get(F.filter(bucket, lambda v: v["term"] == entry["term"]), F.lit(0))
+        return F.struct(match.alias("match"), entry["tf"].cast("double").alias("tf"))
+
+    def weigh(hit: Column) -> Column:
+        tf = 1 + F.log(hit["tf"]) if sublinear else hit["tf"]
+        return F.struct(hit["match"]["idx"].alias("idx"), (tf * hit["match"]["idf"]).alias("raw"))
+
+    known = F.transform(F.filter(F.transform(COUNTS, found), lambda h: h["match"].isNotNull()), weigh)
+    weighed = counted.withColumn("_known", known).drop(COUNTS)
+    length = F.sqrt(F.aggregate("_known", F.lit(0.0), lambda acc, e: acc + e["raw"] * e["raw"]))
+    # the length enters as an array: a column used inside a lambda may be inlined
+    # there and would be worked out again for every element
+    lengths = F.array_repeat(length, F.size("_known"))
+    return weighed.select(
+        *[c for c in counted.columns if c != COUNTS],
+        F.transform("_known", lambda e: e["idx"]).alias("terms"),
+        F.zip_with("_known", lengths, lambda e, n: e["raw"] / n).alias("weights"),
     )
 
 
+def postings(vectors: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+    """(key, term, weight) rows of row vectors."""
+    pairs = vectors.select(key, F.inline(F.arrays_zip("terms", "weights"))).withColumnRenamed("terms", "idx")
+    words = F.broadcast(vocabulary.select("idx", "term"))
+    return pairs.join(words, "idx").select(key, "term", F.col("weights").alias("weight"))
+
+
 @dataclass(frozen=True)
 class TermIndex:
     """A searchable table of documents.
@@ -127,36 +194,18 @@ class TermIndex:
     documents: DataFrame
 
     def postings(self, key: str = "doc_id") -> DataFrame:
-        """(key, term, weight) rows."""
-        pairs = self.documents.select(key, F.explode(F.arrays_zip("terms", "weights")).alias("p"))
-        words = self.vocabulary.select("idx", "term")
-        return pairs.join(F.broadcast(words), pairs["p.terms"] == words["idx"]).select(
-            key, "term", F.col("p.weights").alias("weight")
-        )
+        return postings(self.documents, self.vocabulary, key)
 
 
 def build_index(documents: DataFrame, text: str, max_features: int, key: str = "doc_id") -> TermIndex:
     """Character TF-IDF of ``documents``; every other column is kept beside the vector."""
-    counts = char_terms(documents, key, text)
+    terms = term_idf(char_terms(documents, key, text), documents)
     # written once: documents and, later, every set of queries are weighted by it
-    vocabulary = durable(numbered(prune_vocabulary(term_idf(counts, documents), documents, max_features)))
-    packed = vectors(counts, key, vocabulary)
-    indexed = documents.join(packed, key, "left")
-    return TermIndex(
-        vocabulary,
-        indexed.select(
-            *documents.columns,
-            F.coalesce("terms", F.array().cast("array<int>")).alias("terms"),
-            F.coalesce("weights", F.array().cast("array<double>")).alias("weights"),
-        ),
-    )
+    vocabulary = durable(numbered(prune_vocabulary(terms, documents, max_features)))
+    return TermIndex(vocabulary, with_vectors(with_char_counts(spread_small(documents), text), vocabulary))
 
 
 def query_vectors(queries: DataFrame, text: str, vocabulary: DataFrame, key: str = "qid") -> DataFrame:
     """(key, terms, weights) under an existing vocabulary; unknown terms are dropped."""
-    packed = vectors(char_terms(queries, key, text), key, vocabulary)
-    return queries.select(key).join(packed, key, "left").select(
-        key,
-        F.coalesce("terms", F.array().cast("array<int>")).alias("terms"),
-        F.coalesce("weights", F.array().cast("array<double>")).alias("weights"),
-    )
+    counted = with_char_counts(spread_small(queries.select(key, text)), text)
+    return with_vectors(counted, vocabulary).select(key, "terms", "weights")

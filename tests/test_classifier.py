@@ -36,9 +36,9 @@ def test_vocabulary_limits(spark):
 
 def test_sublinear_weights(spark):
     texts = spark.createDataFrame([(1, "aa aa aa bb"), (2, "bb cc")], "k long, text string")
-    counts = termindex.word_terms(texts, "k", "text")
-    rows = termindex.weights(counts, "k", termindex.term_idf(counts, texts), sublinear=True).collect()
-    got = {(r["k"], r["term"]): r["weight"] for r in rows}
+    vocabulary = termindex.numbered(termindex.term_idf(termindex.word_terms(texts, "k", "text"), texts))
+    vectors = termindex.with_vectors(termindex.with_word_counts(texts, "text", pairs=False), vocabulary, sublinear=True)
+    got = {(r["k"], r["term"]): r["weight"] for r in termindex.postings(vectors, vocabulary, "k").collect()}
     idf = {"aa": math.log(3 / 2) + 1, "bb": 1.0, "cc": math.log(3 / 2) + 1}
     raw = {"aa": (1 + math.log(3)) * idf["aa"], "bb": 1.0}
     length = math.hypot(*raw.values())

@@ -66,11 +66,13 @@ def test_index_equals_brute_force(spark, limit):
     assert index.documents.count() == len(TEXTS)
 
 
-def test_no_shuffle_between_counting_and_weighting(spark):
-    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
-    counts = termindex.char_terms(df, "doc_id", "text")
-    plan = counts._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+def test_documents_are_not_shuffled(spark, tmp_path):
+    spark.createDataFrame([(1, "a b")], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    index = termindex.build_index(docs, "text", 10)
+    plan = termindex.with_vectors(termindex.with_char_counts(docs, "text"), index.vocabulary)
+    tree = plan._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+    assert "Exchange" not in tree and "Join" not in tree
 
 
 def brute_hits(questions, kb_docs, k, threshold, boosts=True):
