@@ -19,7 +19,7 @@ from factlane.session import local_session  # noqa: E402
 
 HEADLINE = [
     "kb_build", "keyword_intent", "entity_match", "passage_match", "entity_match_blocked", "fuzzy_lookup",
-    "rule_qa_answers", "dedupe_first", "dense_ids", "term_idf", "index_postings", "cosine_scores", "retrieve_topk",
+    "rule_qa", "dedupe_first", "dense_ids", "term_idf", "index_postings", "cosine_scores", "retrieve_topk",
     "hybrid_topk", "rag_qa", "tfidf_sublinear", "stratified_split", "classification_report", "svm_evaluate",
     "classification_qa", "ingest_encodings",
 ]

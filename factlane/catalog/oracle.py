@@ -231,7 +231,7 @@ intents AS (
 ORACLE["keyword_intent"] = (
     f"{with_(QUESTIONS_CTE, INTENTS)} SELECT qid, intent, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM intents"
 )
-ORACLE["intent_description_lookup"] = f"""
+ORACLE["intent_description"] = f"""
 {with_(QUESTIONS_CTE, INTENTS, values('descriptions', 'name, description', C.INTENT_DESCRIPTIONS.items()))}
 SELECT qid, coalesce(description, {lit(C.UNKNOWN_DESCRIPTION)}) AS description
 FROM intents LEFT JOIN descriptions ON intent = name"""
@@ -291,7 +291,7 @@ answered AS (
 
 
 RULE_COLUMNS = "qid, intent, confidence, names, cities, provinces, answer, matched"
-ORACLE["rule_qa_answers"] = f"{rules(QUESTIONS_CTE)} SELECT {RULE_COLUMNS} FROM answered"
+ORACLE["rule_qa"] = f"{rules(QUESTIONS_CTE)} SELECT {RULE_COLUMNS} FROM answered"
 ORACLE["stream_rule_qa"] = f"{rules(f'questions AS ({TURNS})')} SELECT {RULE_COLUMNS} FROM answered"
 
 SLOT_ROWS = values(

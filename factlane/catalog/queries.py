@@ -44,13 +44,20 @@ PART_REPAIRS = {"red widget": "红色部件", "blue bolt": "蓝色螺栓", "smal
 PART_REPAIR_CITY = "银川"
 
 
-def query(function: Callable[[Tables], DataFrame]) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return function(Tables(spark, sf_dir))
+def named(name: str) -> Callable[[Callable[[Tables], DataFrame]], Query]:
+    def register(function: Callable[[Tables], DataFrame]) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return function(Tables(spark, sf_dir))
+
+        run.__doc__ = function.__doc__
+        QUERIES[name] = run
+        return run
 
-    run.__doc__ = function.__doc__
-    QUERIES[function.__name__] = run
-    return run
+    return register
+
+
+def query(function: Callable[[Tables], DataFrame]) -> Query:
+    return named(function.__name__)(function)
 
 
 def r6(column) -> Column:
@@ -238,7 +245,7 @@ def keyword_intent(t: Tables) -> DataFrame:
     return with_keyword_intent(t.questions).select("qid", "intent", r6("intent_confidence").alias("confidence"))
 
 
-@query
+@named("intent_description")
 def intent_description_lookup(t: Tables) -> DataFrame:
     return with_keyword_intent(t.questions).select("qid", intent_description(F.col("intent")).alias("description"))
 
@@ -307,7 +314,7 @@ def _flat_rules(answered: DataFrame) -> DataFrame:
     )
 
 
-@query
+@named("rule_qa")
 def rule_qa_answers(t: Tables) -> DataFrame:
     return _flat_rules(rule_qa.rule_qa(t.questions, t.kb))
 

@@ -17,8 +17,10 @@ def keep_first(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
 
     Spark limits each key to its first row inside every task before the shuffle,
     so a key with a third of all rows sends one row per task.  Null keys are equal.
+    A hash in front of the keys lets rows be sorted by a number; long texts are
+    compared only where it is equal.
     """
-    order = Window.partitionBy(*keys).orderBy(ordinal)
+    order = Window.partitionBy(F.xxhash64(*keys), *keys).orderBy(ordinal)
     return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == 1).drop("_n")
 
 

@@ -48,7 +48,7 @@ def durable(df: DataFrame) -> DataFrame:
     """The rows of ``df`` written once to the shared folder and read back."""
     spark = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
 

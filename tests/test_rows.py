@@ -15,9 +15,12 @@ def test_keep_first_is_idempotent_and_null_safe(spark):
 
 
 def test_one_hot_key_is_limited_before_the_shuffle(spark):
-    df = spark.range(1000).select(F.lit("hot").alias("k"), F.col("id").alias("ord"))
-    plan = rows.keep_first(df, ["k"], "ord")._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string"))
+    df = spark.range(1000).select(key.alias("k"), F.col("id").alias("ord"))
+    kept = rows.keep_first(df, ["k"], "ord")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") < plan.index("Exchange") < plan.rindex("WindowGroupLimit")
+    assert kept.count() == 667
 
 
 def test_dense_ids_follow_the_order(spark):
