@@ -151,7 +151,10 @@ class QueryBlock:
                 })
                 kept = found if kept is None else pd.concat([kept, found])
                 kept = kept.sort_values(["q", "score", "doc_id"], ascending=[True, False, True])
-                kept = kept[kept.groupby("q").cumcount() < k]
+                place = kept.groupby("q").cumcount()
+                kept = kept[place < k]
+                last = kept[place[place < k] == k - 1]
+                floor[last["q"].to_numpy()] = np.maximum(floor[last["q"].to_numpy()], last["score"].to_numpy())
         if kept is None:
             kept = pd.DataFrame({"q": np.empty(0, int), "doc_id": [], "score": [], "tfidf_score": [], "entity_boost": []})
         kept = kept.assign(qid=self.qid[kept["q"].to_numpy()])

@@ -41,7 +41,7 @@ def row_documents(kb: DataFrame) -> DataFrame:
 def document_index(kb: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> TermIndex:
     """The index of a knowledge base; its documents are written out once, since
     counting, weighting, scoring and prompting all read them."""
-    return build_index(durable(row_documents(kb)), "content", config.max_features)
+    return build_index(durable(row_documents(kb), all_cores=True), "content", config.max_features)
 
 
 def retrieve(
@@ -72,7 +72,7 @@ def with_documents(hits: DataFrame, documents: DataFrame) -> DataFrame:
 
 def entity_boosts(questions: DataFrame, kb: DataFrame, k: int = 5, broadcast: bool | None = None) -> DataFrame:
     """(qid, rank, doc_id, entity_boost): the k most boosted documents of each question."""
-    documents = row_documents(kb)
+    documents = durable(row_documents(kb), all_cores=True)
     bare = documents.select(
         "*",
         F.array().cast("array<int>").alias("terms"),

@@ -44,13 +44,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` written once to the shared folder and read back."""
+def durable(df: DataFrame, all_cores: bool = False) -> DataFrame:
+    """The rows of ``df`` written once to the shared folder and read back.
+
+    ``all_cores`` is for rows that much work follows: written in fewer pieces than
+    there are cores, they are dealt out to all of them.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    written = df.checkpoint(eager=True)
+    cores = context.defaultParallelism
+    return written.repartition(cores) if all_cores and written.rdd.getNumPartitions() < cores else written
 
 
 @dataclass(frozen=True)
