@@ -48,6 +48,8 @@ class QueryBlock:
     """Queries as a dense matrix over just the terms they use."""
 
     def __init__(self, rows: pd.DataFrame, scoring: Scoring):
+        if rows["qid"].duplicated().any():
+            raise ValueError("qid must be unique")
         self.qid = rows["qid"].to_numpy()
         self.scoring = scoring
         lengths = rows["terms"].map(len).to_numpy()
@@ -183,15 +185,11 @@ def _run(queries: DataFrame, documents: DataFrame, scoring: Scoring, method: str
     written = durable(wanted)
     size = written.agg(
         F.count("*").alias("rows"),
-        F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("entries"),
-        F.count_distinct(F.xxhash64("qid")).alias("keys"),
+        F.coalesce(F.max(F.array_max("terms")) + 1, F.lit(1)).alias("width"),
     ).first()
-    vocabulary = written.select(F.explode("terms").alias("t")).agg(F.count_distinct("t").alias("n")).first()["n"]
-    if size["rows"] != size["keys"]:
-        raise ValueError("qid must be unique")
     if broadcast is None:
         # the dense matrix is what each task holds
-        broadcast = size["rows"] * max(1, vocabulary) * 8 <= QUERY_BYTES
+        broadcast = size["rows"] * size["width"] * 8 <= QUERY_BYTES
     if broadcast:
         block = documents.sparkSession.sparkContext.broadcast(QueryBlock(written.toPandas(), scoring))
 
