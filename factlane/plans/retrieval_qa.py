@@ -66,8 +66,17 @@ def retrieve(
 
 
 def with_documents(hits: DataFrame, documents: DataFrame) -> DataFrame:
-    """Hits with name, city and content.  Many hits may be on one document."""
-    return salted_lookup(hits, documents.select("doc_id", "name", "city", "content"), "doc_id", F.col("qid"))
+    """Hits with name, city and content.
+
+    The hits, a few numbers per question, are written out: scoring is the costly
+    step and prompts and answers both follow from it.  Many hits may be on one
+    document, so the lookup is salted, but only documents with a hit take part.
+    """
+    written = durable(hits)
+    wanted = documents.select("doc_id", "name", "city", "content").join(
+        written.select("doc_id").distinct(), "doc_id", "left_semi"
+    )
+    return salted_lookup(written, wanted, "doc_id", F.col("qid"))
 
 
 def entity_boosts(questions: DataFrame, kb: DataFrame, k: int = 5, broadcast: bool | None = None) -> DataFrame:
