@@ -5,26 +5,115 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_copies, quality_rules
+from . import archive, compression, mixing, near_copies, quality_rules, toxicity
+from .learn import learnable
+from .text import n_words, remainder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _predicted(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, learnable(_table(spark, folder, "labels")))
+    return _predicted(toxicity.score(docs, model), toxicity.THRESHOLD)
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return quality_rules.judge(docs).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def op6_compression(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    model = compression.fit(docs, learnable(_table(spark, folder, "labels")))
+    return _predicted(compression.score(docs, model), compression.THRESHOLD)
+
+
+def op7_archive(spark: SparkSession, folder: str) -> DataFrame:
+    return archive.archive_round_trip(_table(spark, folder, "pages")).drop("number")
+
+
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    sized = docs.select("doc_id", "source", n_words("text").alias("words"))
+    return mixing.mix(sized, size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies.near_copies(_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op6_compression": op6_compression,
+    "op7_archive": op7_archive,
+    "op8_mixing": op8_mixing,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE: dict[str, str] = {}
+WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
+
+ORACLE: dict[str, str] = {
+    "op7_archive": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        hex AS (SELECT html, sha1(html) AS d FROM (SELECT DISTINCT html FROM p)),
+        digest AS (
+            SELECT html, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + v, 1), '' ORDER BY i) AS digest
+            FROM (
+                SELECT html, i, list_sum(list_transform(range(0, 5), lambda b:
+                    (((strpos('0123456789abcdef', substr(d, ((5 * i + b) // 4)::INT + 1, 1)) - 1)
+                      >> (3 - (5 * i + b) % 4)::INT) & 1) * (1 << (4 - b)::INT)))::INT AS v
+                FROM hex, range(0, 32) t(i))
+            GROUP BY html)
+        SELECT page_id, strlen(html)::BIGINT AS payload_bytes, digest AS payload_digest,
+            CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p) JOIN digest USING (html)
+    """,
+    "op8_mixing": f"""
+        WITH d AS (
+            SELECT doc_id, source, len({WORDS})::BIGINT AS size,
+                ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS h
+            FROM documents),
+        s AS (
+            SELECT source, sum(size)::BIGINT AS source_size,
+                [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w
+            FROM d GROUP BY source),
+        filled AS (
+            SELECT *, sum(w) OVER (ORDER BY source_size / w DESC, w, source) AS open_weight,
+                (SELECT sum(source_size) FROM s)
+                    - coalesce(sum(3 * source_size) OVER (ORDER BY source_size / w, w DESC, source DESC
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open_words
+            FROM s),
+        level AS (
+            SELECT arg_min(open_words, source_size / w) AS open_words, arg_min(open_weight, source_size / w) AS open_weight
+            FROM filled WHERE w * open_words <= 3 * source_size * open_weight),
+        t AS (
+            SELECT source, source_size, CASE WHEN source_size = 0 THEN 0 ELSE
+                least(w * open_words::BIGINT / open_weight::BIGINT, 3 * source_size) END::DOUBLE AS target
+            FROM s, level),
+        cells AS (
+            SELECT source, h, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) - sum(size) / 2 AS middle
+            FROM d GROUP BY source, h),
+        picked AS (
+            SELECT cells.source, cells.h, middle < target - floor(target / source_size) * source_size AS more
+            FROM cells JOIN t ON cells.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target,
+            CASE WHEN source_size = 0 THEN 0 ELSE
+                size * least(3, floor(target / source_size)::BIGINT + more::BIGINT) END::BIGINT AS taken
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        JOIN picked ON picked.source IS NOT DISTINCT FROM d.source AND picked.h = d.h
+    """,
+}
