@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, compression, mixing, near_copies, quality_rules, toxicity
+from . import archive, compression, interpolated_lm, mixing, near_copies, quality_rules, toxicity
 from .learn import learnable
 from .text import n_words, remainder
 
@@ -50,6 +50,10 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(sized, size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_interpolated_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return interpolated_lm.score(_table(spark, folder, "documents"))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies.near_copies(_table(spark, folder, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_compression": op6_compression,
     "op7_archive": op7_archive,
     "op8_mixing": op8_mixing,
+    "op9_interpolated_lm": op9_interpolated_lm,
     "op10_simhash": op10_simhash,
 }
 
