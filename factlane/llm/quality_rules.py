@@ -146,16 +146,20 @@ def pattern_quality(patterns: DataFrame, n_rules: int, iterations: int = ITERATI
 
 
 def judge(
-    docs: DataFrame, rules: dict[str, tuple[str, str]] = RULES, min_quality: float = MIN_QUALITY, iterations: int = ITERATIONS
+    docs: DataFrame,
+    rules: dict[str, tuple[str, str]] = RULES,
+    min_quality: float = MIN_QUALITY,
+    iterations: int = ITERATIONS,
+    keep_text: bool = True,
 ) -> DataFrame:
-    """``docs`` with the base counts, ``base_failed``, ``votes``, ``quality`` and ``kept``.
+    """``docs`` with the base counts, ``base_failed``, ``votes``, ``quality`` and ``kept``; ``text`` goes unless it is kept.
 
     Columns of ``docs`` with one of those names are replaced.
     """
     clashing = {c.lower() for c in [*BASE, *MORE, "base_failed", "votes", "quality", "kept"]}
     mine = docs.drop(*[c for c in docs.columns if c.lower() in clashing and c != "text"])
     rated = features(mine).withColumns({"base_failed": base_failed(), "votes": votes(rules)}).drop(*MORE)
-    rated = keep(rated, "rated")
+    rated = keep(rated if keep_text else rated.drop("text"), "rated")
     patterns = rated.groupBy("votes").agg(F.count("*").alias("n"))
     qualities = keep(pattern_quality(patterns, len(rules), iterations), "qualities")
     # at most 3^rules rows
@@ -167,4 +171,4 @@ def judge(
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that ``judge`` keeps, with their own columns only."""
     numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
-    return judge(numbered).where("kept").select("_row.*")
+    return judge(numbered, keep_text=False).where("kept").select("_row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, compression, interpolated_lm, mixing, near_copies, quality_rules, toxicity
+from . import archive, chat, compression, interpolated_lm, mixing, near_copies, packing, pivot_search, quality_rules, toxicity
 from .learn import learnable
 from .text import n_words, remainder
 
@@ -34,6 +34,24 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(docs).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.repair(_table(spark, folder, "conversations")).drop("position")
+
+
+def op4_pivot_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings").select(
+        F.col("vec_id").cast("long").alias("id"), pivot_search.quantised(F.col("embedding")).alias("x")
+    )
+    vectors = vectors.where("id IS NOT NULL AND x IS NOT NULL")
+    return pivot_search.search(vectors, vectors.where("id % 50 = 0"))
+
+
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    sized = docs.select("doc_id", n_words("text").alias("words"))
+    return packing.pack(sized, F.col("words")).drop("words")
+
+
 def op6_compression(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     model = compression.fit(docs, learnable(_table(spark, folder, "labels")))
@@ -61,6 +79,9 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op3_chat": op3_chat,
+    "op4_pivot_search": op4_pivot_search,
+    "op5_packing": op5_packing,
     "op6_compression": op6_compression,
     "op7_archive": op7_archive,
     "op8_mixing": op8_mixing,
@@ -71,6 +92,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
 
 ORACLE: dict[str, str] = {
+    "op4_pivot_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.x, v.x), lambda p: p[1] * p[2]))::BIGINT AS score
+            FROM v AS q, v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
+        SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        WHERE rank <= 5
+    """,
     "op7_archive": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         hex AS (SELECT html, sha1(html) AS d FROM (SELECT DISTINCT html FROM p)),

@@ -15,6 +15,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own: dict[str, str] = {}
 
 
@@ -38,10 +40,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """``df`` written to the shared folder, and a table that reads it."""
+    """``df`` written to the shared folder, and a table that reads it.
+
+    What was shuffled for it goes when it is written: nothing reads it again.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
