@@ -8,10 +8,11 @@ model says what the shared one says, and an expression that is rare in either cl
 moves the comparison little, while the stem of a toxic word, frequent in one class
 and absent from the other, moves it much, also in forms never seen in training.
 
-A word's evidence is the difference of the two log-likelihoods divided by its
-length.  A text's evidence is that difference over the whole text divided by the
-text's length, and the highest values among its words.  A logistic curve fitted to
-labelled texts that the counts have not seen makes a probability of it.
+A text's evidence is the difference of the two log-likelihoods over the whole text divided by
+the text's length, the highest differences among its distinct words, what its distinct words
+have above ``NOTABLE``, and the logarithm of its length, as a longer text has higher ones by
+chance.  A logistic curve makes a probability of it; it is fitted to evidence of labelled texts that
+the counts have not seen: each quarter of the sample is judged by models of the other three.
 
 Fitting uses a sample of at most ``SAMPLE`` labelled texts per class, those with the
 smallest seeded hashes, so the models' size doesn't grow with the corpus; scoring
@@ -37,14 +38,17 @@ from .text import by_bytes, free_name, per_text
 
 #: Labelled texts per class that the models and the curve are fitted to, at most.
 SAMPLE = 6_000
-ORDER = 5
+#: Bytes in an n-gram, 7 at most.
+ORDER = 6
 DISCOUNT = 0.9
 THRESHOLD = 0.3
+RIDGE = 0.1
 #: Scores of words that a task remembers between batches.
 REMEMBERED = 400_000
 #: Padding before a word, as many as a context is long.
 PAD = b"\x01"
-PEAKS = 3
+PEAKS, NOTABLE = 3, 2.0
+FEATURES = PEAKS + 3
 #: Texts are taken together up to about this size.
 GROUP_BYTES = 4_000_000
 
@@ -165,8 +169,8 @@ class Evidence:
         self.length = np.concatenate([self.length, np.fromiter(map(len, words), float, len(words)) + 1])
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
-        """A row per text: mean over its length, then its PEAKS highest words (0 where there are fewer)."""
-        out = np.zeros((len(texts), 1 + PEAKS))
+        """A row per text: mean over its length, its PEAKS highest words (0 where there are fewer), excess, log length."""
+        out = np.zeros((len(texts), FEATURES))
         for some in by_bytes(texts, GROUP_BYTES):
             split = [texts[i].lower().split() for i in some]
             met = set().union(*split)
@@ -178,11 +182,13 @@ class Evidence:
                 if not words:
                     continue
                 at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-                ratio, length = self.ratio[at], self.length[at]
-                out[i, 0] = ratio.sum() / length.sum()
-                each = ratio / length
+                out[i, 0] = self.ratio[at].sum() / self.length[at].sum()
+                # a word that repeats is one piece of evidence
+                each = self.ratio[np.unique(at)]
                 best = np.sort(np.partition(each, -PEAKS)[-PEAKS:] if len(each) > PEAKS else each)[::-1]
                 out[i, 1 : 1 + len(best)] = best
+                out[i, -2] = np.log1p(np.maximum(each - NOTABLE, 0).sum())
+                out[i, -1] = np.log(len(words))
         return out
 
 
@@ -197,52 +203,59 @@ class ToxicityModel:
 
 
 def gram_counts(sampled: DataFrame, order: int = ORDER) -> DataFrame:
-    """``gram``, ``toxic``, ``ordinary``: n-grams of the sample's words with their counts in each class."""
+    """``gram``, ``label``, ``fold``, ``n``: n-grams of the sample's words with their counts."""
 
     def run(batches):
         import pandas as pd
 
         for batch in batches:
-            for value, part in batch.groupby("label"):
+            for (label, fold), part in batch.groupby(["label", "fold"]):
                 words = [w for t in part["text"] for w in (t or "").encode().lower().split()]
-                if not words:
-                    continue
-                grams, counts = np.unique(_codes(words, order)[0][-1], return_counts=True)
-                zero = np.zeros(len(grams), np.int64)
-                pair = (counts, zero) if value else (zero, counts)
-                yield pd.DataFrame({"gram": grams, "toxic": pair[0], "ordinary": pair[1]})
+                if words:
+                    grams, counts = np.unique(_codes(words, order)[0][-1], return_counts=True)
+                    yield pd.DataFrame({"gram": grams, "label": label, "fold": fold, "n": counts})
+
+    counted = sampled.select("text", "label", "fold").mapInPandas(run, "gram long, label int, fold int, n long")
+    return counted.groupBy("gram", "label", "fold").agg(F.sum("n").alias("n"))
+
 
-    counted = sampled.select("text", "label").mapInPandas(run, "gram long, toxic long, ordinary long")
-    return counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+def models_of(counted, order: int, left_out: int | None = None) -> ClassModels | None:
+    """Models from the pandas table of ``gram_counts`` without one fold; none if a class is missing."""
+    used = counted[counted["fold"] != left_out]
+    if used["label"].nunique() < 2:
+        return None
+    grams, at = np.unique(used["gram"].to_numpy(), return_inverse=True)
+    toxic, ordinary = (np.bincount(at, used["n"] * (used["label"] == value), len(grams)) for value in (1, 0))
+    return ClassModels.fit(grams, toxic, ordinary, order)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE, order: int = ORDER) -> ToxicityModel:
-    """Models from three quarters of the sample, the curve from the rest."""
+    """The curve from evidence of each quarter of the sample under models of the rest; the models from all of it."""
     spark = docs.sparkSession
     sampled = keep(sample(docs, labels, label, per_class, "toxicity"), "toxicity_sample")
-    grams = gram_counts(sampled.where("fold < 3"), order).toPandas()
-    if not (grams["toxic"].sum() and grams["ordinary"].sum()):
-        rate = sampled.agg(F.avg("label")).first()[0] or 0.0
-        return ToxicityModel(None, np.zeros(2 + PEAKS), rate)
-    models = ClassModels.fit(*[grams[c].to_numpy() for c in ("gram", "toxic", "ordinary")], order=order)
-    shared = spark.sparkContext.broadcast(models)
+    known = labels.where(F.col(label).isin(0, 1))
+    share = known.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
+    # n-grams of a bounded sample
+    counted = gram_counts(sampled, order).toPandas()
+    parts = {fold: models_of(counted, order, fold) for fold in range(4)}
+    if any(models is None for models in parts.values()):
+        return ToxicityModel(None, np.zeros(1 + FEATURES), share)
+    shared = spark.sparkContext.broadcast(parts)
 
     def evidence(batches):
         import pandas as pd
 
-        of = Evidence(shared.value)
+        of = {fold: Evidence(models) for fold, models in shared.value.items()}
         for batch in batches:
-            found = of([(t or "").encode() for t in batch["text"]])
-            yield pd.DataFrame({"x": list(found), "label": batch["label"].to_numpy()})
+            for fold, part in batch.groupby("fold"):
+                found = of[fold]([(t or "").encode() for t in part["text"]])
+                yield pd.DataFrame({"x": list(found), "label": part["label"].to_numpy()})
 
-    rest = sampled.where("fold = 3").mapInPandas(evidence, "x array<double>, label int").toPandas()
-    if rest["label"].nunique() < 2:
-        rest = sampled.mapInPandas(evidence, "x array<double>, label int").toPandas()
+    # at most 2 * per_class rows of a few numbers
+    seen = sampled.mapInPandas(evidence, "x array<double>, label int").toPandas()
     shared.unpersist()
-    x, y = np.array(rest["x"].tolist()), rest["label"].to_numpy(float)
-    # the sample has more toxic texts than the corpus; the curve is for the corpus' share
-    share = labels.where(F.col(label).isin(0, 1)).agg(F.avg(F.col(label).cast("double"))).first()[0]
-    return ToxicityModel(models, for_share(fit_logistic(x, y), y.mean(), share), share)
+    x, y = np.array(seen["x"].tolist()), seen["label"].to_numpy(float)
+    return ToxicityModel(models_of(counted, order), for_share(fit_logistic(x, y, RIDGE), y.mean(), share), share)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", name: str = "score", keep_text: bool = False) -> DataFrame:
