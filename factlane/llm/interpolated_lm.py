@@ -59,7 +59,7 @@ OCTAVES = 50
 
 def packed(values: np.ndarray) -> bytes:
     """Whole numbers, compressed byte plane by byte plane."""
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
@@ -103,7 +103,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
             words = (text or b"").lower().split()
-            for w in set(words) - at.keys():
+            for w in set(words).difference(at):
                 at[w] = len(at)
             numbers.append(np.fromiter(map(at.__getitem__, words), np.int32, len(words)))
             ids.append(doc_id)
