@@ -176,7 +176,7 @@ class Evidence:
             met = set().union(*split)
             if len(self.at) > REMEMBERED:
                 self.forget()
-            if new := list(met - self.at.keys()):
+            if new := list(met.difference(self.at)):
                 self.learn(new)
             for i, words in zip(some, split):
                 if not words:
