@@ -62,7 +62,7 @@ def rows():
     return [*enumerate(texts), (500, None), (501, "long " * 40_000), (None, "a b"), (3, texts[3]), (3, texts[3])]
 
 
-@pytest.mark.parametrize("block_tokens", [300, 2_500_000])
+@pytest.mark.parametrize("block_tokens", [300, 1_000_000])
 def test_scores_match_brute_force(spark, rows, monkeypatch, block_tokens):
     monkeypatch.setattr(lm, "BLOCK_TOKENS", block_tokens)
     docs = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double")

@@ -31,7 +31,7 @@ def test_matches_brute_force(spark, monkeypatch, seed):
     r = random.Random(seed)
     centres = [[r.gauss(0, 1) for _ in range(6)] for _ in range(8)]
     rows = [(i, [x + r.gauss(0, 0.3) for x in r.choice(centres)]) for i in range(900)]
-    same = [0.5, -0.25, 1, 0, 0, 2.0]
+    same = [0.5, -0.25, 1.0, 0.0, 0.0, 2.0]
     rows += [(1000 + i, same) for i in range(300)]
     rows += [(2000, None), (2001, [None, 1.0]), (2050, [float("nan")] * 6), (2100, [float("inf")] + [0.0] * 5), (None, same), (2150, [0.0] * 6), (2200, [3.0, 1.0])]
     assert found(spark, rows) == plain([(i, v if v is None else v + [0.0] * (6 - len(v)) if None not in v else v) for i, v in rows])
