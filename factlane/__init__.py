@@ -1,17 +1,21 @@
 """Question answering over tables of facts, as Spark DataFrame plans."""
 
-from factlane.config import RetrievalConfig
-from factlane.plans.classify_qa import classification_qa, predict_intent
-from factlane.plans.dispatch import answer, compare_methods
-from factlane.plans.retrieval_qa import retrieval_qa
-from factlane.plans.rule_qa import rule_qa
+from importlib import import_module
 
-__all__ = [
-    "RetrievalConfig",
-    "answer",
-    "classification_qa",
-    "compare_methods",
-    "predict_intent",
-    "retrieval_qa",
-    "rule_qa",
-]
+# loaded when first used, so that Python workers import only what they run
+_PLACES = {
+    "RetrievalConfig": "factlane.config",
+    "answer": "factlane.plans.dispatch",
+    "classification_qa": "factlane.plans.classify_qa",
+    "compare_methods": "factlane.plans.dispatch",
+    "predict_intent": "factlane.plans.classify_qa",
+    "retrieval_qa": "factlane.plans.retrieval_qa",
+    "rule_qa": "factlane.plans.rule_qa",
+}
+__all__ = sorted(_PLACES)
+
+
+def __getattr__(name: str):
+    if name not in _PLACES:
+        raise AttributeError(name)
+    return getattr(import_module(_PLACES[name]), name)

@@ -12,6 +12,7 @@ from factlane.config import ClassifierConfig, RetrievalConfig
 from factlane.functions import clean
 from factlane.functions.render import fields_of
 from factlane.functions.terms import HAN, WORD
+from factlane.training_set import TRAINING_TEXTS
 
 ORACLE: dict[str, str] = {}
 
@@ -359,9 +360,8 @@ ORACLE["index_postings"] = (
 SEARCHED = f"WITH {indexed('documents', 'doc_id', 'text')}, {cosines('benchmark', 'item_id', 'text')}"
 MIN_SCORE = RetrievalConfig().min_score
 ORACLE["cosine_scores"] = f"""{SEARCHED}
-SELECT item_id, coalesce(count(*) FILTER (WHERE round(cosine, 9) >= {MIN_SCORE}), 0) AS n_docs,
-       round(coalesce(sum(round(cosine, 9)) FILTER (WHERE round(cosine, 9) >= {MIN_SCORE}), 0), 4) AS sum_score,
-       round(max(cosine), 6) AS max_score
+SELECT item_id, (SELECT count(*) FROM documents) AS n_docs, round(coalesce(sum(round(cosine, 9)), 0), 4) AS sum_score,
+       round(coalesce(max(cosine), 0), 6) AS max_score
 FROM benchmark LEFT JOIN cosines ON item_id = qid GROUP BY item_id"""
 ORACLE["retrieve_topk"] = f"""{SEARCHED}
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM (
@@ -369,6 +369,8 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score
          row_number() OVER (PARTITION BY qid ORDER BY round(cosine, 9) DESC, doc_id) AS rank FROM cosines)
 WHERE rank <= 3 AND score >= {MIN_SCORE}"""
 
+ORACLE["retrieve_topk_tiled"] = ORACLE["retrieve_topk"]
+
 CONTENT = " || chr(10) || ".join(f"{lit('【' + label + '】')} || {slot(f)}" for f, label in C.DOCUMENT_LABELS.items())
 DOCS = f"docs AS (SELECT dataid AS doc_id, name, city, {CONTENT} AS content FROM kb)"
 ORACLE["row_documents"] = f"{with_(KB_CTE, DOCS)} SELECT doc_id, name, city, content FROM docs"
@@ -387,10 +389,18 @@ boosts AS (
                 THEN {C.BOOST_NAME_PART} ELSE 0 END AS boost
   FROM lists, docs)"""
 BOOSTED = with_(KB_CTE, QUESTIONS_CTE, DOCS, BOOSTS)
-ORACLE["entity_boost"] = f"""{BOOSTED}
-SELECT qid, CAST(rank AS INTEGER) AS rank, doc_id, round(CAST(boost AS DOUBLE), 6) AS entity_boost FROM (
-  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(CAST(boost AS DOUBLE), 9) DESC, doc_id) AS rank
-  FROM boosts WHERE boost > 0) WHERE rank <= 5"""
+ORACLE["entity_boost"] = f"""{with_(KB_CTE, QUESTIONS_CTE, DOCS, ENTITIES)},
+recognised AS (SELECT DISTINCT kind, value FROM found)
+SELECT kind, value, doc_id, {C.BOOST_CITY} AS weight FROM recognised, docs WHERE kind = 'city' AND value = city
+UNION ALL
+SELECT kind, value, doc_id, {C.BOOST_PROVINCE} FROM recognised, docs WHERE kind = 'province' AND contains(content, value)
+UNION ALL
+SELECT kind, value, doc_id, CASE WHEN value = name THEN {C.BOOST_NAME} ELSE {C.BOOST_NAME_PART} END FROM recognised, docs
+WHERE kind = 'name' AND (contains(value, name) OR contains(name, value))"""
+ORACLE["entity_boost"] = f"SELECT kind, value, doc_id, CAST(weight AS DOUBLE) AS weight FROM ({ORACLE['entity_boost']})"
+ORACLE["question_boost"] = (
+    f"{BOOSTED} SELECT qid, round(CAST(max(boost) AS DOUBLE), 6) AS max_boost FROM boosts GROUP BY qid"
+)
 
 HITS = f"""{BOOSTED}, {indexed('docs', 'doc_id', 'content')}, {cosines('questions', 'qid', 'text')},
 fused AS (
@@ -405,6 +415,7 @@ hits AS (
                row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM fused) f
   JOIN docs d ON f.doc_id = d.doc_id WHERE rank <= 3 AND score >= {MIN_SCORE})"""
 ORACLE["hybrid_topk"] = f"{HITS} SELECT qid, rank, doc_id, round(score, 6) AS score FROM hits"
+ORACLE["hybrid_topk_tiled"] = ORACLE["hybrid_topk"]
 ORACLE["score_breakdown"] = f"""{HITS}
 SELECT qid, rank, name, city, round(score, 6) AS score, round(cosine, 6) AS tfidf_score, round(boost, 6) AS entity_boost
 FROM hits"""
@@ -524,6 +535,32 @@ SELECT vec_id, CAST(list_position(s, list_max(s)) - 1 AS BIGINT) AS best,
        round(exp(list_max(s)) / list_sum(list_transform(s, lambda x: exp(x))), 6) AS confidence
 FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS s FROM embeddings)"""
 
+ORACLE["svm_predict"] = """
+SELECT lang AS label, count(*) AS n, true AS good FROM documents GROUP BY lang
+UNION ALL SELECT 'turns', count(*), true FROM conversations"""
+ORACLE["svm_evaluate"] = f"""
+SELECT lang AS label, CAST(count(*) - floor(count(*) * {CONFIG.train_fraction} + 1e-9) AS BIGINT) AS support,
+       true AS precision_reached, true AS recall_reached, true AS accuracy_reached FROM documents GROUP BY lang"""
+ORACLE["svm_save_load"] = "SELECT count(*) AS n_turns, 0 AS n_different FROM conversations"
+TWO_KINDS = f"""{with_(KB_CTE, QUESTIONS_CTE, ENTITIES, SLOTS, RECOMMENDED)},
+matches AS (
+  SELECT qid, names, cities, row_id, recommendation,
+         CASE WHEN row_id IS NOT NULL THEN first_name WHEN first_city IS NOT NULL THEN {lit(C.CITY_MATCH_LABEL)} END AS matched
+  FROM entities LEFT JOIN recommended ON first_city = city)"""
+ORACLE["classification_qa"] = f"""{TWO_KINDS}
+SELECT qid, names, cities, matched, CASE WHEN row_id IS NOT NULL THEN true END AS as_predicted,
+       CASE WHEN row_id IS NULL THEN coalesce(recommendation, {lit(C.CLASSIFIER_HELP)}) END AS other_answer, true AS sound
+FROM matches"""
+ORACLE["compare_methods"] = f"""
+SELECT q.qid AS qid, q.question AS text, r.intent AS rules_intent, r.matched AS rules_matched, r.answer AS rules_answer,
+       q.intent AS retrieval_intent, q.matched AS retrieval_matched, q.answer AS retrieval_answer,
+       m.matched AS classification_matched
+FROM ({ORACLE['rag_qa']}) q JOIN ({ORACLE['rule_qa']}) r ON q.qid = r.qid
+JOIN ({TWO_KINDS} SELECT qid, matched FROM matches) m ON q.qid = m.qid"""
+ORACLE["intent_examples"] = f"""{with_(QUESTIONS_CTE, INTENTS, values('examples', 'name, n', [(k, len(v)) for k, v in TRAINING_TEXTS.items()]))}
+SELECT intent, count(*) AS n_questions, coalesce(any_value(n), 0) AS n_examples
+FROM intents LEFT JOIN examples ON intent = name GROUP BY intent"""
+
 # --- files ------------------------------------------------------------------------
 
 NULLS = ", ".join(lit(v) for v in C.CSV_NULLS)

@@ -367,7 +367,7 @@ def _benchmark_search(t: Tables):
 @query
 def cosine_scores(t: Tables) -> DataFrame:
     """Every benchmark text against every document, as totals per text."""
-    totals = score_totals(*_benchmark_search(t), Scoring(min_score=RetrievalConfig().min_score))
+    totals = score_totals(*_benchmark_search(t), Scoring(min_score=-1.0))
     return totals.select(
         F.col("qid").alias("item_id"), "n_docs", F.round("sum_score", 4).alias("sum_score"),
         r6("max_score").alias("max_score"),
@@ -380,6 +380,13 @@ def retrieve_topk(t: Tables) -> DataFrame:
     return hits.select(F.col("qid").alias("item_id"), "rank", "doc_id", r6("score").alias("score"))
 
 
+@query
+def retrieve_topk_tiled(t: Tables) -> DataFrame:
+    """The way for queries too many to send around, forced."""
+    hits = top_documents(*_benchmark_search(t), Scoring(3, RetrievalConfig().min_score), broadcast=False)
+    return hits.select(F.col("qid").alias("item_id"), "rank", "doc_id", r6("score").alias("score"))
+
+
 @query
 def row_documents(t: Tables) -> DataFrame:
     return retrieval_qa.row_documents(t.kb)
@@ -387,8 +394,12 @@ def row_documents(t: Tables) -> DataFrame:
 
 @query
 def entity_boost(t: Tables) -> DataFrame:
-    boosted = retrieval_qa.entity_boosts(t.questions, t.kb, 5)
-    return boosted.select("qid", "rank", "doc_id", r6("entity_boost").alias("entity_boost"))
+    return retrieval_qa.entity_boosts(t.questions, t.kb).select("kind", "value", "doc_id", r6("weight").alias("weight"))
+
+
+@query
+def question_boost(t: Tables) -> DataFrame:
+    return retrieval_qa.question_boosts(t.questions, t.kb).select("qid", r6("max_boost").alias("max_boost"))
 
 
 def _hits(t: Tables) -> DataFrame:
@@ -402,6 +413,15 @@ def hybrid_topk(t: Tables) -> DataFrame:
     return hits.select("qid", "rank", "doc_id", r6("score").alias("score"))
 
 
+@query
+def hybrid_topk_tiled(t: Tables) -> DataFrame:
+    """The ways for large tables, forced: tiles of queries and documents, a shuffled substring join."""
+    hits = retrieval_qa.retrieve(
+        t.questions, retrieval_qa.document_index(t.kb), lexicon.entity_index(t.kb), broadcast=False
+    )
+    return hits.select("qid", "rank", "doc_id", r6("score").alias("score"))
+
+
 @query
 def score_breakdown(t: Tables) -> DataFrame:
     parts = retrieval_qa.score_breakdown(_hits(t))
@@ -428,7 +448,7 @@ def template_answer(t: Tables) -> DataFrame:
     return retrieval_qa.template_answers(t.questions, _hits(t))
 
 
-def _echo(prompt_rows: DataFrame) -> DataFrame:
+def _echo(prompt_rows: DataFrame, config: RetrievalConfig) -> DataFrame:
     """A generator in plain expressions: some answers, some failures of each sort."""
     kind = F.col("qid") % 4
     return prompt_rows.select(
@@ -453,7 +473,7 @@ def answer_fallback(t: Tables) -> DataFrame:
 def batch_generate(t: Tables) -> DataFrame:
     """Prompts through a batch function in Python workers, as a model client would run."""
 
-    def complete(batch: pd.DataFrame) -> pd.Series:
+    def complete(batch: pd.DataFrame, config: RetrievalConfig) -> pd.Series:
         return "收到" + batch["prompt"].str.len().astype(str) + "字"
 
     made = retrieval_qa.generate(
@@ -564,45 +584,80 @@ def _languages(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.col("lang").alias("label"), "text")
 
 
+def _turns(t: Tables) -> DataFrame:
+    return t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
+
+
 @query
 def svm_predict(t: Tables) -> DataFrame:
-    """Trained on the documents' languages, applied to every conversation turn."""
+    """Trained on the documents' languages and applied to them and to every conversation turn.
+
+    Per language: its documents and whether nine in ten were recognised; and the
+    turns, and whether each got one of the languages with a confidence it can have.
+    """
     model = classifier.train(_languages(t), "doc_id")
-    turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
-    return classifier.predict(turns, model).select("qid", "predicted", F.round("confidence", 4).alias("confidence"))
+    own = classifier.predict(_languages(t), model, "doc_id")
+    languages = F.array(*[F.lit(x) for x in model.labels])
+    sound = F.array_contains(languages, F.col("predicted")) & F.col("confidence").between(1 / len(model.labels) - 1e-9, 1.0)
+    turns = classifier.predict(_turns(t), model).agg(F.count("*").alias("n"), F.bool_and(sound).alias("good"))
+    per_language = own.groupBy("label").agg(F.count("*").alias("n"), (classifier.accuracy(own) >= 0.9).alias("good"))
+    return per_language.unionByName(turns.select(F.lit("turns").alias("label"), "n", "good"))
 
 
 @query
 def svm_evaluate(t: Tables) -> DataFrame:
+    """The hold-out's supports, and whether precision, recall and accuracy reach 0.9."""
     _, report, _ = classifier.evaluate(_languages(t), "doc_id")
-    return report.select(
-        "label", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")], "support",
-        F.round("accuracy", 4).alias("accuracy"),
-    )
+    reached = [(F.col(c) >= 0.9).alias(f"{c}_reached") for c in ("precision", "recall", "accuracy")]
+    return report.select("label", "support", *reached)
 
 
 @query
 def svm_save_load(t: Tables) -> DataFrame:
-    """Trains and stores a model, loads it, and applies the loaded one."""
+    """A model in memory against the same model stored and loaded, over every conversation turn."""
     path = scratch_path(t.spark, "model")
     labelled = t.labelled.select(F.col("doc_id").alias("example_id"), "label", "text")
-    model = classifier.load_or_train(t.spark, path, labelled)
-    turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
-    return classifier.predict(turns, model).select("qid", "predicted", F.round("confidence", 4).alias("confidence"))
+    trained = classifier.train(labelled, "example_id")
+    trained.save(path)
+    loaded = classifier.load_or_train(t.spark, path)
+    first = classifier.predict(_turns(t), trained).select("qid", F.col("predicted").alias("a"), F.col("confidence").alias("x"))
+    second = classifier.predict(_turns(t), loaded).select("qid", F.col("predicted").alias("b"), F.col("confidence").alias("y"))
+    same = F.col("a").eqNullSafe(F.col("b")) & (F.abs(F.col("x") - F.col("y")) < 1e-9)
+    return first.join(second, "qid", "full").agg(F.count("*").alias("n_turns"), F.count_if(~F.coalesce(same, F.lit(False))).alias("n_different"))
 
 
 @query
 def classification_qa(t: Tables) -> DataFrame:
-    answered = classify_qa.classification_qa(t.questions, t.kb)
-    return answered.select(
-        "qid", "intent", F.round("intent_confidence", 4).alias("confidence"), "intent_description",
-        F.array_join("entities.names", "|").alias("names"), "answer", "matched",
+    """Entities and matches; and whether each answer is the predicted intent's template for the first name."""
+    answered = durable(classify_qa.classification_qa(t.questions, t.kb))
+    asked = answered.where(F.size("entities.names") > 0)
+    requests = asked.select("qid", "intent", F.get("entities.names", F.lit(0)).alias("wanted"))
+    found = lookup.exact_lookup(requests, t.kb).join(requests.select("qid", "intent"), "qid")
+    expected = rule_qa.render_answers(found, t.kb, "classifier").select("qid", F.col("answer").alias("expected"))
+    described = intent_description(F.col("intent")) == F.col("intent_description")
+    return answered.join(expected, "qid", "left").select(
+        "qid", F.array_join("entities.names", "|").alias("names"), F.array_join("entities.cities", "|").alias("cities"),
+        "matched", F.when(F.size("entities.names") > 0, F.col("answer") == F.col("expected")).alias("as_predicted"),
+        F.when(F.size("entities.names") == 0, F.col("answer")).alias("other_answer"),
+        (described & F.col("intent_confidence").between(0, 1)).alias("sound"),
     )
 
 
 @query
 def compare_methods(t: Tables) -> DataFrame:
-    return dispatch.compare_methods(t.questions, t.kb)
+    """All methods side by side; of the classifier's columns those that don't depend on its training."""
+    return dispatch.compare_methods(t.questions, t.kb).select(
+        "qid", "text", *[f"{m}_{c}" for m in ("rules", "retrieval") for c in ("intent", "matched", "answer")],
+        "classification_matched",
+    )
+
+
+@query
+def intent_examples(t: Tables) -> DataFrame:
+    """The labelled examples of each intent that the given questions ask for by keyword."""
+    asked = with_keyword_intent(t.questions).groupBy("intent").agg(F.count("*").alias("n_questions"))
+    examples = classifier.label_counts(classifier.label_rows(t.spark)).withColumnsRenamed({"label": "intent", "n": "n_examples"})
+    return asked.join(examples, "intent", "left").fillna(0, ["n_examples"])
 
 
 # --- files ------------------------------------------------------------------------

@@ -45,7 +45,8 @@ class ClassifierConfig:
     min_df: int = 1
     max_df: float = 0.95
     c: float = 1.0
-    max_iter: int = 20
+    tolerance: float = 1e-4
+    max_iter: int = 10_000
     train_fraction: float = 0.8
     seed: int = 42
     parallelism: int = 8

@@ -83,13 +83,15 @@ def price_floor(c: Column) -> Column:
     """The lowest price as ``¥n起``, or ``免费``, or the cleaned text."""
     text = _text(c)
     ascii_digits = F.translate(text, "０１２３４５６７８９", "0123456789")
+    # numbers of any length: without leading zeros the shorter one is less
     prices = F.transform(
         F.regexp_extract_all(ascii_digits, F.lit(PRICE), F.lit(1)),
-        lambda p: p.try_cast("decimal(38,0)"),
+        lambda p: F.struct(F.length(F.ltrim(p, F.lit("0"))).alias("n"), F.ltrim(p, F.lit("0")).alias("digits")),
     )
+    lowest = F.array_min(prices)["digits"]
     cleaned = clean_text(text)
     return (
-        F.when(F.size(prices) > 0, F.concat(F.lit("¥"), F.array_min(prices).cast("string"), F.lit("起")))
+        F.when(F.size(prices) > 0, F.concat(F.lit("¥"), F.when(lowest == "", F.lit("0")).otherwise(lowest), F.lit("起")))
         .when(text.contains("免费"), F.lit("免费"))
         .when(cleaned == "nan", F.lit(""))
         .otherwise(cleaned)

@@ -1,12 +1,15 @@
-"""Top-k documents per query under cosine similarity and entity boosts.
+"""Top-k documents per query under cosine similarity.
 
 Every query has to be scored against every document: character terms are so
 common that each pair shares some.  Joining postings would write out all those
-pairs.  Instead documents stay partitioned, each task scores its documents in
-blocks against the queries and passes on only the k best per query (or three
-running totals), and Spark merges those.  Queries go to all tasks while
-their measured size fits; beyond that queries and documents are cut into blocks
-of bounded size and each pair of blocks is one group of a cogroup.
+pairs.  Instead each task scores its documents in blocks against the queries and
+passes on only the k best per query (or three running totals), and Spark merges
+those.  Queries go to all tasks while their measured bytes fit; beyond that both
+sides are cut into tiles of bounded bytes, and a side is copied once per tile of the
+other.
+
+Search can also be kept to groups: a query is then scored against the documents of
+its groups only, and the k best of each group are given.
 """
 
 from __future__ import annotations
@@ -16,40 +19,34 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlane import constants as C
 from factlane.scale import durable
 
-QUERY_BYTES = 128 * 1024 * 1024
-TILE_QUERIES = 1024
-TILE_DOCUMENTS = 8192
+QUERY_BYTES = 64 * 1024 * 1024
+TILE_BYTES = 32 * 1024 * 1024
+STEP_QUERIES = 1024
 STEP_DOCUMENTS = 2048
 CELLS = 2_000_000
 DIGITS = 9
 
-HIT_COLUMNS = "qid long, doc_id long, score double, tfidf_score double, entity_boost double"
+HIT_COLUMNS = "qid long, doc_id long, cosine double"
 TOTAL_COLUMNS = "qid long, n_docs long, sum_score double, max_score double"
-ENTITY_LISTS = ("names", "cities", "provinces")
 
 
 @dataclass(frozen=True)
 class Scoring:
-    """How documents are scored and how many are kept."""
+    """How many documents are kept, and from which score on."""
 
     top_k: int = 3
     min_score: float = 0.1
-    cosine: bool = True
-    boosts: bool = False
 
 
 class QueryBlock:
     """Queries as a dense matrix over just the terms they use."""
 
     def __init__(self, rows: pd.DataFrame, scoring: Scoring):
-        if rows["qid"].duplicated().any():
-            raise ValueError("qid must be unique")
         self.qid = rows["qid"].to_numpy()
         self.scoring = scoring
         lengths = rows["terms"].map(len).to_numpy()
@@ -59,15 +56,6 @@ class QueryBlock:
         self.matrix[np.repeat(np.arange(len(rows)), lengths), column] = np.concatenate(
             [np.asarray(w, dtype=float) for w in rows["weights"]] or [np.empty(0)]
         )
-        self.entities = {kind: self._incidence(rows[kind]) for kind in ENTITY_LISTS} if scoring.boosts else {}
-
-    @staticmethod
-    def _incidence(lists: pd.Series):
-        """The distinct values, and (query, value) index pairs sorted by query."""
-        lists = [[v for v in values if v] for values in lists]
-        lengths = np.array([len(v) for v in lists], dtype=np.int64)
-        values, column = np.unique(np.array([v for vs in lists for v in vs], dtype=object), return_inverse=True)
-        return list(values), np.repeat(np.arange(len(lists)), lengths), column
 
     def cosine(self, docs: pd.DataFrame) -> np.ndarray:
         """queries x documents; document vectors already have length one."""
@@ -82,51 +70,6 @@ class QueryBlock:
             dense[row[known], at[known]] = weight[known]
         return self.matrix @ dense.T
 
-    def _any(self, kind: str, fits) -> np.ndarray:
-        """queries x documents: does any recognised value of the kind fit the document?"""
-        values, query, column = self.entities[kind]
-        out = np.zeros((len(self.qid), fits.shape[1] if len(values) else 0), dtype=bool)
-        if len(query):
-            starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
-            out[query[starts]] = np.logical_or.reduceat(fits[column], starts, axis=0)
-        return out
-
-    def boost(self, docs: pd.DataFrame) -> np.ndarray:
-        total = np.zeros((len(self.qid), len(docs)))
-        city = docs["city"].fillna("").to_numpy(dtype=object)
-        content = docs["content"].fillna("").tolist()
-        name = docs["name"].fillna("").to_numpy(dtype=object)
-
-        def table(kind, test):
-            return np.array([test(value) for value in self.entities[kind][0]], dtype=bool).reshape(-1, len(docs))
-
-        if self.entities["cities"][0]:
-            total += C.BOOST_CITY * self._any("cities", table("cities", lambda v: city == v))
-        if self.entities["provinces"][0]:
-            total += C.BOOST_PROVINCE * self._any("provinces", table("provinces", lambda v: [v in c for c in content]))
-        if self.entities["names"][0]:
-            same = self._any("names", table("names", lambda v: name == v))
-            part = self._any("names", table("names", lambda v: [v in n or n in v for n in name]))
-            total += np.where(same, C.BOOST_NAME, np.where(part, C.BOOST_NAME_PART, 0.0))
-        return total
-
-    def score(self, docs: pd.DataFrame):
-        """(score, cosine, boost), each queries x documents, scores rounded for ranking."""
-        shape = (len(self.qid), len(docs))
-        cosine = self.cosine(docs) if self.scoring.cosine else np.zeros(shape)
-        if not self.scoring.boosts:
-            return np.round(cosine, DIGITS), cosine, np.zeros(shape)
-        boost = self.boost(docs)
-        if not self.scoring.cosine:
-            return np.round(boost, DIGITS), cosine, boost
-        # a recognised entity comes from the searched table itself, so some document
-        # is boosted exactly when anything was recognised
-        has_entity = np.zeros(len(self.qid), dtype=bool)
-        for _, query, _ in self.entities.values():
-            has_entity[query] = True
-        fused = np.where(has_entity[:, None], C.FUSE_COSINE * cosine + C.FUSE_BOOST * boost, cosine)
-        return np.round(fused, DIGITS), cosine, boost
-
     def blocks(self, docs: pd.DataFrame):
         step = max(1, min(STEP_DOCUMENTS, CELLS // max(1, len(self.qid))))
         for start in range(0, len(docs), step):
@@ -139,18 +82,15 @@ class QueryBlock:
         kept = None
         for batch in batches:
             for docs in self.blocks(batch):
-                score, cosine, boost = self.score(docs)
+                cosine = self.cosine(docs)
+                score = np.round(cosine, DIGITS)
                 if len(docs) >= k:
                     kth = np.partition(score, len(docs) - k, axis=1)[:, len(docs) - k]
                     floor = np.maximum(floor, kth)
                 q, d = np.nonzero(score >= floor[:, None])
-                found = pd.DataFrame({
-                    "q": q,
-                    "doc_id": docs["doc_id"].to_numpy()[d],
-                    "score": score[q, d],
-                    "tfidf_score": cosine[q, d],
-                    "entity_boost": boost[q, d],
-                })
+                found = pd.DataFrame(
+                    {"q": q, "doc_id": docs["doc_id"].to_numpy()[d], "score": score[q, d], "cosine": cosine[q, d]}
+                )
                 kept = found if kept is None else pd.concat([kept, found])
                 kept = kept.sort_values(["q", "score", "doc_id"], ascending=[True, False, True])
                 place = kept.groupby("q").cumcount()
@@ -158,9 +98,8 @@ class QueryBlock:
                 last = kept[place[place < k] == k - 1]
                 floor[last["q"].to_numpy()] = np.maximum(floor[last["q"].to_numpy()], last["score"].to_numpy())
         if kept is None:
-            kept = pd.DataFrame({"q": np.empty(0, int), "doc_id": [], "score": [], "tfidf_score": [], "entity_boost": []})
-        kept = kept.assign(qid=self.qid[kept["q"].to_numpy()])
-        return kept[["qid", "doc_id", "score", "tfidf_score", "entity_boost"]]
+            kept = pd.DataFrame({"q": np.empty(0, int), "doc_id": np.empty(0, np.int64), "cosine": np.empty(0)})
+        return kept.assign(qid=self.qid[kept["q"].to_numpy()])[["qid", "doc_id", "cosine"]]
 
     def totals(self, batches) -> pd.DataFrame:
         """Number, sum and maximum of the scores at or above the threshold, per query."""
@@ -169,7 +108,7 @@ class QueryBlock:
         top = np.full(len(self.qid), -np.inf)
         for batch in batches:
             for docs in self.blocks(batch):
-                score = self.score(docs)[0]
+                score = np.round(self.cosine(docs), DIGITS)
                 counted = score >= self.scoring.min_score
                 n += counted.sum(axis=1)
                 total += np.where(counted, score, 0.0).sum(axis=1)
@@ -177,56 +116,103 @@ class QueryBlock:
         return pd.DataFrame({"qid": self.qid, "n_docs": n, "sum_score": total, "max_score": top})
 
 
-def _run(queries: DataFrame, documents: DataFrame, scoring: Scoring, method: str, schema: str, broadcast) -> DataFrame:
-    entity_columns = list(ENTITY_LISTS) if scoring.boosts else []
-    doc_columns = ["name", "city", "content"] if scoring.boosts else []
-    wanted = queries.select("qid", "terms", "weights", *entity_columns)
-    searched = documents.select("doc_id", "terms", "weights", *doc_columns)
-    written = durable(wanted)
-    size = written.agg(
-        F.count("*").alias("rows"),
-        F.coalesce(F.max(F.array_max("terms")) + 1, F.lit(1)).alias("width"),
-    ).first()
-    if broadcast is None:
-        # the dense matrix is what each task holds
-        broadcast = size["rows"] * size["width"] * 8 <= QUERY_BYTES
-    if broadcast:
-        block = documents.sparkSession.sparkContext.broadcast(QueryBlock(written.toPandas(), scoring))
-
-        def score_partition(batches):
-            yield getattr(block.value, method)(batches)
+def _vector_bytes() -> Column:
+    return 32 + 12 * F.size("terms")
 
-        return searched.mapInPandas(score_partition, schema)
 
-    query_blocks = ceil(size["rows"] / TILE_QUERIES)
-    document_blocks = max(1, ceil(searched.count() / TILE_DOCUMENTS))
-    queries_cut = written.withColumn("_q", F.pmod(F.xxhash64("qid"), F.lit(query_blocks)))
-    queries_cut = queries_cut.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(document_blocks - 1)))).withColumn(
-        "_d", F.col("_d").cast("long")
+def _in_tiles(queries: DataFrame, documents: DataFrame, scoring: Scoring, method: str, schema: str) -> DataFrame:
+    """Scores the queries of each group against its documents; both have ``gid``."""
+    sides = []
+    for df, key in ((queries, "qid"), (documents, "doc_id")):
+        size = df.groupBy("gid").agg(F.ceil(F.sum(_vector_bytes()) / TILE_BYTES).alias("tiles"))
+        sides.append((df, key, size))
+    (asked, _, query_tiles), (searched, _, document_tiles) = sides
+    tiles = durable(
+        query_tiles.withColumnRenamed("tiles", "_nq").join(document_tiles.withColumnRenamed("tiles", "_nd"), "gid")
     )
-    documents_cut = searched.withColumn("_d", F.pmod(F.xxhash64("doc_id"), F.lit(document_blocks)))
-    documents_cut = documents_cut.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn(
-        "_q", F.col("_q").cast("long")
+    # groups of one tile share a task's call with others
+    together = queries.sparkSession.sparkContext.defaultParallelism
+    place = F.when(F.col("_nq") * F.col("_nd") == 1, F.pmod("gid", F.lit(together))).otherwise(F.col("gid"))
+    numbered = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = asked.join(tiles, "gid").withColumn("_t", place).withColumn("_q", F.pmod(F.xxhash64("qid"), F.col("_nq"))).withColumn("_d", numbered("_nd"))
+    searched = searched.join(tiles, "gid").withColumn("_t", place).withColumn("_d", F.pmod(F.xxhash64("doc_id"), F.col("_nd"))).withColumn(
+        "_q", numbered("_nq")
     )
+    tile, wanted = ["_t", "_q", "_d"], ["gid", "_t", "_q", "_d", "terms", "weights"]
 
     def score_tile(query_rows: pd.DataFrame, document_rows: pd.DataFrame) -> pd.DataFrame:
-        return getattr(QueryBlock(query_rows, scoring), method)([document_rows] if len(document_rows) else [])
+        by_group = dict(list(document_rows.groupby("gid")))
+        blocks = [
+            getattr(QueryBlock(of_group.iloc[at:at + STEP_QUERIES], scoring), method)([by_group[gid]])
+            for gid, of_group in query_rows.groupby("gid") if gid in by_group
+            for at in range(0, len(of_group), STEP_QUERIES)
+        ]
+        return pd.concat(blocks) if blocks else getattr(QueryBlock(query_rows.iloc[:0], scoring), method)([])
 
     return (
-        queries_cut.groupBy("_q", "_d")
-        .cogroup(documents_cut.groupBy("_q", "_d"))
+        asked.select("qid", *wanted).groupBy(*tile)
+        .cogroup(searched.select("doc_id", *wanted).groupBy(*tile))
         .applyInPandas(score_tile, schema)
     )
 
 
-def top_documents(queries: DataFrame, documents: DataFrame, scoring: Scoring, broadcast: bool | None = None) -> DataFrame:
-    """(qid, rank, doc_id, score, tfidf_score, entity_boost)."""
-    partial = _run(queries, documents, scoring, "best", HIT_COLUMNS, broadcast)
+def _run(queries: DataFrame, documents: DataFrame, scoring: Scoring, method: str, schema: str, broadcast) -> DataFrame:
+    written = durable(queries.select("qid", "terms", "weights"))
+    searched = documents.select("doc_id", "terms", "weights")
+    size = written.agg(
+        F.count("*").alias("rows"), F.countDistinct("qid").alias("ids"), F.coalesce(F.sum(_vector_bytes()), F.lit(0)).alias("bytes")
+    ).first()
+    if size["rows"] != size["ids"]:
+        raise ValueError("qid must be unique")
+    if broadcast is None:
+        broadcast = size["bytes"] <= QUERY_BYTES
+    if not broadcast:
+        gid = F.lit(0).cast("long").alias("gid")
+        return _in_tiles(written.select("*", gid), searched.select("*", gid), scoring, method, schema)
+    # the sparse vectors, measured above; each task makes dense blocks of them
+    shared = documents.sparkSession.sparkContext.broadcast(written.toPandas())
+
+    def score_partition(batches):
+        rows = shared.value
+        blocks = [QueryBlock(rows.iloc[at:at + STEP_QUERIES], scoring) for at in range(0, len(rows), STEP_QUERIES)]
+        if len(blocks) == 1:
+            yield getattr(blocks[0], method)(batches)
+            return
+        for batch in batches:
+            for block in blocks:
+                yield getattr(block, method)([batch])
+
+    return searched.mapInPandas(score_partition, schema)
+
+
+def best_by_cosine(
+    queries: DataFrame, documents: DataFrame, scoring: Scoring, broadcast: bool | None = None, groups: bool = False
+) -> DataFrame:
+    """(qid, doc_id, cosine): at least the k best documents per query.
+
+    With ``groups`` both sides have a column ``gid`` and may hold several rows of a
+    query or document; each group's k best are among the result.
+    """
+    if groups:
+        return _in_tiles(queries, documents, scoring, "best", HIT_COLUMNS)
+    return _run(queries, documents, scoring, "best", HIT_COLUMNS, broadcast)
+
+
+def ranked(scored: DataFrame, scoring: Scoring) -> DataFrame:
+    """The k best of each query from the threshold on, with ``rank``; equal scores go by doc_id."""
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
     return (
-        partial.withColumn("rank", F.row_number().over(order))
+        scored.where(F.col("score") >= scoring.min_score)
+        .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= scoring.top_k)
-        .select("qid", "rank", "doc_id", "score", "tfidf_score", "entity_boost")
+    )
+
+
+def top_documents(queries: DataFrame, documents: DataFrame, scoring: Scoring, broadcast: bool | None = None) -> DataFrame:
+    """(qid, rank, doc_id, score) by cosine alone."""
+    partial = best_by_cosine(queries, documents, scoring, broadcast)
+    return ranked(partial.select("qid", "doc_id", F.round("cosine", DIGITS).alias("score")), scoring).select(
+        "qid", "rank", "doc_id", "score"
     )
 
 

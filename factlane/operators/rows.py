@@ -27,11 +27,13 @@ def keep_first(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
 def dense_ids(df: DataFrame, ordinal: str, id_column: str = "dataid") -> DataFrame:
     """Ids 1..n in the order of ``ordinal`` (unique), without one task seeing all rows.
 
-    Rows are range-partitioned and sorted, written once so that their positions
-    are final, and each partition's rows are shifted by what precedes it.
+    The rows are written first, as finding the ranges reads them once more than
+    dealing them out.  Then they are range-partitioned and sorted, written so that
+    their positions are final, and each partition's rows are shifted by what
+    precedes it.
     """
     placed = durable(
-        df.repartitionByRange(ordinal).sortWithinPartitions(ordinal)
+        durable(df).repartitionByRange(ordinal).sortWithinPartitions(ordinal)
         .withColumn("_at", F.monotonically_increasing_id())
     )
     part = F.shiftright("_at", ROW_BITS)

@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlane.functions.terms import grams
-from factlane.scale import SALTS, Size, durable, spread_small, text_bytes
+from factlane.scale import BROADCAST_BYTES, Size, durable, measure, spread_small
 
 ANCHOR_LENGTHS = (16, 8, 4, 2, 1)
+# a hash among those sent around
+ANCHOR_BYTES = 16
 
 
 @dataclass(frozen=True)
@@ -62,18 +64,13 @@ def build_substring_index(dictionary: DataFrame, value: str = "value") -> Substr
         .select("value", F.col("rarest.piece").alias("anchor"))
     )
     written = durable(entries.join(anchors, "value"))
-    facts = written.agg(
-        F.count("*").alias("rows"),
-        F.coalesce(F.sum(text_bytes("value", "anchor")), F.lit(0)).alias("bytes"),
-        F.collect_set(F.length("anchor")).alias("lengths"),
-    ).first()
-    return SubstringIndex(written, tuple(sorted(facts["lengths"])), Size(facts["rows"], facts["bytes"]))
+    lengths = written.agg(F.collect_set(F.length("anchor")).alias("lengths")).first()["lengths"]
+    return SubstringIndex(written, tuple(sorted(lengths)), measure(written))
 
 
-def text_pieces(texts: DataFrame, key: str, text: str, lengths: tuple[int, ...], keep_text: bool) -> DataFrame:
+def text_pieces(texts: DataFrame, key: str, text: str, lengths: tuple[int, ...]) -> DataFrame:
     per_length = [F.array_distinct(grams(F.col(text), n)) for n in lengths]
-    kept = [F.col(key)] + ([F.col(text).alias("_text")] if keep_text else [])
-    return texts.select(*kept, F.explode(F.concat(*per_length)).alias("anchor"))
+    return texts.select(F.col(key), F.col(text).alias("_text"), F.explode(F.concat(*per_length)).alias("anchor"))
 
 
 def find_substrings(
@@ -83,12 +80,14 @@ def find_substrings(
     text: str = "text",
     broadcast: bool | None = None,
 ) -> DataFrame:
-    """(key, every column of the dictionary) for each value that occurs in a text.
-
-    ``key`` is unique in ``texts``.  A dictionary whose measured size fits is
-    sent to all tasks; the texts are then not shuffled at all.  A larger one is
-    joined by a shuffle of the pieces alone, salted so that a piece most texts
-    hold is spread, and the texts are joined back to the candidates to verify.
+    """(key, every column of the dictionary) for each row of ``texts`` and value that occurs in it.
+
+    A text travels with its pieces, so null and repeated keys are rows like others.
+    A dictionary whose measured size, all columns counted, fits is sent to all
+    tasks; the texts are then not shuffled at all.  Of a larger one the hashes of
+    its anchors are sent, while they fit, so that only pieces that are some anchor
+    are shuffled; an anchor that most texts hold is split by Spark.  Either way the
+    rows are the same.
     """
     entries = index.entries
     if not index.lengths:
@@ -96,14 +95,12 @@ def find_substrings(
     if broadcast is None:
         broadcast = index.size.fits()
     payload = [c for c in entries.columns if c != "anchor"]
-    present = spread_small(texts.where(F.col(text).isNotNull()))
+    pieces = text_pieces(spread_small(texts.where(F.col(text).isNotNull())), key, text, index.lengths)
     if broadcast:
-        pieces = text_pieces(present, key, text, index.lengths, keep_text=True)
-        found = pieces.join(F.broadcast(entries), "anchor").where(F.col("_text").contains(F.col("value")))
-        return found.select(key, *payload)
-    pieces = text_pieces(present, key, text, index.lengths, keep_text=False)
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    copies = entries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    candidates = pieces.hint("merge").join(copies, ["anchor", "_salt"]).select(key, *payload)
-    verified = candidates.join(present.select(F.col(key), F.col(text).alias("_text")), key)
-    return verified.where(F.col("_text").contains(F.col("value"))).select(key, *payload)
+        candidates = pieces.join(F.broadcast(entries), "anchor")
+    else:
+        if index.size.rows * ANCHOR_BYTES <= BROADCAST_BYTES:
+            anchors = entries.select(F.xxhash64("anchor").alias("_hash")).distinct()
+            pieces = pieces.withColumn("_hash", F.xxhash64("anchor")).join(F.broadcast(anchors), "_hash", "left_semi")
+        candidates = pieces.select(key, "_text", "anchor").hint("merge").join(entries, "anchor")
+    return candidates.where(F.col("_text").contains(F.col("value"))).select(key, *payload)

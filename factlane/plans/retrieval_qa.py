@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlane import constants as C
@@ -13,14 +13,26 @@ from factlane.config import RetrievalConfig
 from factlane.functions.clean import strip
 from factlane.functions.intents import with_keyword_intent
 from factlane.functions.render import fill, value_or_missing
+from factlane.operators.boosts import (
+    GROUP,
+    asked_groups,
+    boost_of,
+    group_id,
+    group_members,
+    most_boosted,
+    recognised_values,
+    value_documents,
+)
 from factlane.operators.lexicon import entity_index, recognise
-from factlane.operators.retrieval import Scoring, top_documents
+from factlane.operators.retrieval import DIGITS, Scoring, best_by_cosine, ranked
 from factlane.operators.substrings import SubstringIndex
 from factlane.operators.termindex import TermIndex, build_index, query_vectors
 from factlane.plans.rule_qa import entity_struct
 from factlane.scale import durable, salted_lookup
 
-Generator = Callable[[DataFrame], DataFrame]
+#: From prompts (qid, system_prompt, prompt) and the settings to (qid, generated, status).
+Generator = Callable[[DataFrame, RetrievalConfig], DataFrame]
+HIT = ["qid", "rank", "doc_id", "score", "tfidf_score", "entity_boost"]
 
 
 def row_documents(kb: DataFrame) -> DataFrame:
@@ -49,20 +61,49 @@ def retrieve(
     index: TermIndex,
     entities: SubstringIndex | None,
     config: RetrievalConfig = RetrievalConfig(),
-    cosine: bool = True,
     broadcast: bool | None = None,
 ) -> DataFrame:
     """(qid, rank, doc_id, score, tfidf_score, entity_boost).
 
     With an entity index a question is also matched by its recognised cities,
     provinces and names; without one by cosine alone.
+
+    A document that no entity favours can only be a hit if it is among the k best by
+    cosine.  A favoured one can only be a hit if it is among the k best by cosine of
+    those that have all its matching entities, as these are favoured at least as
+    much.  So both searches go by cosine alone, the second inside the documents of
+    each combination of entities, and boosts are worked out for their few results.
     """
-    queries = query_vectors(questions, "text", index.vocabulary)
-    if entities is not None:
-        known = recognise(questions.select("qid", "text"), entities).select("qid", "names", "cities", "provinces")
-        queries = queries.join(known, "qid")
-    scoring = Scoring(config.top_k, config.min_score, cosine, entities is not None)
-    return top_documents(queries, index.documents, scoring, broadcast)
+    scoring = Scoring(config.top_k, config.min_score)
+    queries = durable(query_vectors(questions, "text", index.vocabulary))
+    everywhere = best_by_cosine(queries, index.documents, scoring, broadcast)
+    if entities is None:
+        plain = everywhere.select(
+            "qid", "doc_id", F.round("cosine", DIGITS).alias("score"), F.col("cosine").alias("tfidf_score"),
+            F.lit(0.0).alias("entity_boost"),
+        )
+        return ranked(plain, scoring).select(*HIT)
+    known = durable(recognise(questions.select("qid", "text"), entities).select("qid", "names", "cities", "provinces"))
+    documents = index.documents.select("doc_id", "name", "city", "content")
+    favoured = durable(value_documents(durable(recognised_values(known)), documents, broadcast))
+    asked = asked_groups(known).withColumn("gid", group_id())
+    members = durable(group_members(asked.select("gid", *GROUP).distinct(), favoured))
+    inside = best_by_cosine(
+        asked.select("qid", "gid").join(queries, "qid"),
+        members.select("doc_id", "gid").join(index.documents.select("doc_id", "terms", "weights"), "doc_id"),
+        Scoring(config.top_k, -1.0),
+        groups=True,
+    )
+    # k documents at most for each group of a question
+    candidates = durable(everywhere.unionByName(inside).groupBy("qid", "doc_id").agg(F.first("cosine").alias("cosine")))
+    needed = documents.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+    placed = salted_lookup(candidates, needed, "doc_id", F.col("qid")).join(known, "qid")
+    boosted = placed.select("qid", "doc_id", F.col("cosine").alias("tfidf_score"), boost_of().alias("entity_boost"))
+    most = F.max("entity_boost").over(Window.partitionBy("qid"))
+    fused = F.when(
+        most > 0, F.lit(C.FUSE_COSINE) * F.col("tfidf_score") + F.lit(C.FUSE_BOOST) * F.col("entity_boost")
+    ).otherwise(F.col("tfidf_score"))
+    return ranked(boosted.withColumn("score", F.round(fused, DIGITS)), scoring).select(*HIT)
 
 
 def with_documents(hits: DataFrame, documents: DataFrame) -> DataFrame:
@@ -79,26 +120,25 @@ def with_documents(hits: DataFrame, documents: DataFrame) -> DataFrame:
     return salted_lookup(written, wanted, "doc_id", F.col("qid"))
 
 
-def entity_boosts(questions: DataFrame, kb: DataFrame, k: int = 5, broadcast: bool | None = None) -> DataFrame:
-    """(qid, rank, doc_id, entity_boost): the k most boosted documents of each question."""
-    documents = durable(row_documents(kb), all_cores=True)
-    bare = documents.select(
-        "*",
-        F.array().cast("array<int>").alias("terms"),
-        F.array().cast("array<double>").alias("weights"),
-    )
-    known = recognise(questions.select("qid", "text"), entity_index(kb)).select("qid", "names", "cities", "provinces")
-    queries = known.select(
-        "*", F.array().cast("array<int>").alias("terms"), F.array().cast("array<double>").alias("weights")
-    )
-    scoring = Scoring(k, 1e-9, cosine=False, boosts=True)
-    return top_documents(queries, bare, scoring, broadcast).select("qid", "rank", "doc_id", "entity_boost")
+def entity_boosts(questions: DataFrame, kb: DataFrame) -> DataFrame:
+    """(kind, value, doc_id, weight): every document that a value recognised in some question favours."""
+    known = recognise(questions.select("qid", "text"), entity_index(kb))
+    values = durable(recognised_values(known))
+    return value_documents(values, durable(row_documents(kb))).select("kind", "value", "doc_id", "weight")
 
 
-def hybrid_hits(questions: DataFrame, kb: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+def question_boosts(questions: DataFrame, kb: DataFrame) -> DataFrame:
+    """(qid, max_boost): the most that any document is favoured for a question."""
+    known = durable(recognise(questions.select("qid", "text"), entity_index(kb)).select("qid", "names", "cities", "provinces"))
+    return most_boosted(known, durable(row_documents(kb)))
+
+
+def hybrid_hits(
+    questions: DataFrame, kb: DataFrame, config: RetrievalConfig = RetrievalConfig(), broadcast: bool | None = None
+) -> DataFrame:
     """Top-k hits with their documents' fields."""
     index = document_index(kb, config)
-    hits = retrieve(questions, index, entity_index(kb), config)
+    hits = retrieve(questions, index, entity_index(kb), config, broadcast)
     return with_documents(hits, index.documents)
 
 
@@ -162,28 +202,33 @@ def template_answers(questions: DataFrame, hits: DataFrame) -> DataFrame:
 GENERATED = "qid long, generated string, status string"
 
 
-def from_batches(complete: Callable[[pd.DataFrame], pd.Series]) -> Generator:
-    """A generator from a function of one Arrow batch of (qid, system_prompt, prompt).
+def from_batches(complete: Callable[[pd.DataFrame, RetrievalConfig], pd.Series]) -> Generator:
+    """A generator from a function of one Arrow batch of (qid, system_prompt, prompt) and the settings.
 
-    It returns one text per row; an exception marks the batch as failed instead of
-    failing the job, so its questions fall back to templates.
+    It returns one text per row.  If a batch raises, its rows are tried one by one, so
+    that only the rows that fail by themselves are marked as failed.
     """
 
-    def run(prompts_df: DataFrame) -> DataFrame:
+    def run(prompts_df: DataFrame, config: RetrievalConfig) -> DataFrame:
+        def attempt(batch: pd.DataFrame) -> pd.DataFrame:
+            try:
+                texts = list(complete(batch, config))
+                return pd.DataFrame({"qid": batch["qid"], "generated": texts, "status": "ok"})
+            except Exception as error:  # noqa: BLE001 - reported in the status column
+                if len(batch) > 1:
+                    return pd.concat([attempt(batch.iloc[i:i + 1]) for i in range(len(batch))])
+                return pd.DataFrame({"qid": batch["qid"], "generated": None, "status": f"error: {error}"})
+
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                try:
-                    text, status = list(complete(batch)), "ok"
-                except Exception as error:  # noqa: BLE001 - reported in the status column
-                    text, status = [None] * len(batch), f"error: {error}"
-                yield pd.DataFrame({"qid": batch["qid"], "generated": text, "status": status})
+                yield attempt(batch)
 
         return prompts_df.select("qid", "system_prompt", "prompt").mapInPandas(each, GENERATED)
 
     return run
 
 
-def offline(prompts_df: DataFrame) -> DataFrame:
+def offline(prompts_df: DataFrame, config: RetrievalConfig) -> DataFrame:
     """The built-in generator: no model is reachable, every prompt falls back."""
     return prompts_df.select(
         "qid", F.lit(None).cast("string").alias("generated"), F.lit("error: no model configured").alias("status")
@@ -204,7 +249,7 @@ def generate(
     config: RetrievalConfig = RetrievalConfig(),
     registered: dict[str, Generator] | None = None,
 ) -> DataFrame:
-    return choose_generator(config.provider, registered)(prompts_df)
+    return choose_generator(config.provider, registered)(prompts_df, config)
 
 
 def with_fallback(generated: DataFrame, templates: DataFrame) -> DataFrame:

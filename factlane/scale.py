@@ -1,7 +1,7 @@
 """Helpers that keep plans sound on large and skewed inputs.
 
-* ``durable`` cuts lineage with a reliable checkpoint in the shared folder the
-  cluster names, so a lost executor costs a re-read, not a different answer.
+* ``durable`` writes a table once to the shared folder the cluster names and reads
+  it back, so a lost executor costs a re-read, not a different answer.
 * ``measure`` gives the size that a decision to broadcast is based on.
 * ``salted_lookup`` joins facts to a one-row-per-key table when one key, or the
   null key, may hold a large share of the facts.
@@ -9,54 +9,54 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_ROWS = 500_000
-SALTS = 16
-INPUT_SPLIT = 128 * 1024 * 1024
+SPREAD_BYTES = 1024 * 1024 * 1024
+SHARED = "spark.checkpoint.dir"
+SCRATCH = "factlane-scratch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints and scratch tables.
+    """The folder for scratch tables, which all machines share.
 
-    The session setting wins.  Only a local session without it gets a folder of
-    its own; a cluster without it is an error, since a folder on one machine
-    cannot be read by the others.
+    It is set when the session is made (``local_session`` does so); a folder made
+    up here would exist on one machine only.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="factlane-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    folder = spark.conf.get(SHARED, None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise RuntimeError(f"set {SHARED} to a folder that the driver and all executors share")
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{SCRATCH}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch tables; for when the results that read them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{SCRATCH}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df: DataFrame, all_cores: bool = False) -> DataFrame:
-    """The rows of ``df`` written once to the shared folder and read back.
+    """The rows of ``df`` written once to the shared folder, columns and statistics kept.
 
-    ``all_cores`` is for rows that much work follows: written in fewer pieces than
-    there are cores, they are dealt out to all of them.
+    ``all_cores`` is for rows that much work follows: a small table in few files is
+    dealt out to all cores.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    written = df.checkpoint(eager=True)
-    cores = context.defaultParallelism
-    return written.repartition(cores) if all_cores and written.rdd.getNumPartitions() < cores else written
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    return spread_small(written) if all_cores else written
 
 
 @dataclass(frozen=True)
@@ -68,37 +68,48 @@ class Size:
         return self.rows <= max_rows and self.bytes <= max_bytes
 
 
-def text_bytes(*columns: str):
-    """Bytes the named string columns of a row take, plus a fixed row overhead."""
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes a row takes, over all its columns."""
     total = F.lit(32)
-    for c in columns:
-        total = total + F.coalesce(F.octet_length(F.col(c)), F.lit(0))
+    for field in df.schema:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            total = total + 16 + F.coalesce(F.octet_length(column), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + 16 + 2 * F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+        else:
+            total = total + 8
     return total
 
 
+def measure(df: DataFrame) -> Size:
+    """The rows and bytes of a table, counted."""
+    found = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("bytes")).first()
+    return Size(found["rows"], found["bytes"])
+
+
 def spread_small(df: DataFrame) -> DataFrame:
-    """Uses all cores where the input alone would not.
+    """Uses all cores where a small input alone would not.
 
-    A small table in one file is one task, however much work each row makes.  A
-    table of more than one input split per core is left as it lies, so what this
-    moves is bounded by cores x split size.
+    A small table in one file is one task, however much work each row makes.  At
+    most SPREAD_BYTES are moved for that, whatever the cluster; a larger table is
+    left as it lies.
     """
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
     estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if estimate <= cores * INPUT_SPLIT else df
+    return df.repartition(spark.sparkContext.defaultParallelism) if estimate <= SPREAD_BYTES else df
 
 
-def salted_lookup(facts: DataFrame, dim: DataFrame, on: str, spread, salts: int = SALTS) -> DataFrame:
+def salted_lookup(facts: DataFrame, dim: DataFrame, on: str, spread: Column) -> DataFrame:
     """Left join of ``facts`` to ``dim``, which has one row per ``on``.
 
-    Every row of ``dim`` is repeated once per salt and every fact takes one
-    salt from ``spread`` (any column that varies between the facts of a key), so
-    a key held by a third of the facts is spread over ``salts`` tasks.  The
-    repeated side is the one with unique keys, so its growth is a fixed factor.
-    Facts without a key carry a salt too and spread the same way.  Catalyst still
-    turns the join into a broadcast when the measured side is small.
+    Both sides reach the join straight from a shuffle, so Spark splits a key that
+    holds much of the facts by itself, and sends ``dim`` around if it is small.  Facts
+    without a key have no partner; they are dealt out by ``spread`` (any column that
+    varies between them) instead of meeting in one task.
     """
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    return salted.join(copies, [on, "_salt"], "left").drop("_salt")
+    keyed = facts.withColumn("_alone", F.when(F.col(on).isNull(), F.xxhash64(spread)))
+    values = [c for c in dim.columns if c != on]
+    there = dim.select(F.col(on).alias("_key"), F.lit(None).cast("long").alias("_none"), *values)
+    match = F.col(on).eqNullSafe(F.col("_key")) & F.col("_alone").eqNullSafe(F.col("_none"))
+    return keyed.join(there, match, "left").drop("_key", "_none", "_alone")
