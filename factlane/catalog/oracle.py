@@ -6,7 +6,7 @@ Written for clarity: plain joins and windows, no blocking, no partial results.
 from __future__ import annotations
 
 from factlane import constants as C
-from factlane.catalog.queries import PART_REPAIR_CITY, PART_REPAIRS, PROSE_TAGS, RAW_SHORT
+from factlane.catalog.queries import OTHER_CITY, PART_REPAIR_CITY, PART_REPAIRS, PROSE_TAGS, RAW_SHORT
 from factlane.catalog.views import KB, QUESTIONS, RAW_RENAMES, RAW_ROWS, REQUESTS, TURNS
 from factlane.config import ClassifierConfig, RetrievalConfig
 from factlane.functions import clean
@@ -569,8 +569,8 @@ READ_BACK = ", ".join(
     for short, c in zip(RAW_SHORT, RAW_RENAMES)
 )
 ORACLE["ingest_encodings"] = (
-    f"{with_(RAW_CTE, PROVINCES_CTE)} SELECT ord, city, {READ_BACK} FROM raw_rows "
-    "WHERE city IN (SELECT city FROM provinces)"
+    f"{with_(RAW_CTE, PROVINCES_CTE)} SELECT ord, CASE WHEN city IN (SELECT city FROM provinces) THEN city "
+    f"ELSE {lit(OTHER_CITY)} END AS city, {READ_BACK} FROM raw_rows"
 )
 KB_TEXTS = ["address", "phone", "website", "ticket_price", "open_time", "suggest_time", "tags", "description", "tips"]
 ORACLE["kb_csv_roundtrip"] = (

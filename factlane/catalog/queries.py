@@ -682,21 +682,31 @@ def _write_export(rows_of_city: DataFrame, path: str, gbk: bool) -> None:
     ).csv(path)
 
 
+OTHER_CITY = "其他"
+
+
 @query
 def ingest_encodings(t: Tables) -> DataFrame:
-    """Raw rows written as one export per city, half in UTF-8 and half in GBK, and read back.
+    """All raw rows written as one export per city, half in UTF-8 and half in GBK, and read back.
 
-    GBK has no narrow yen sign, so the wide one stands for it.
+    Cities without a mapping share an export.  Beside these stand an export that is
+    missing, one in neither encoding, and one with a malformed row, which give no
+    rows.  GBK has no narrow yen sign, so the wide one stands for it.
     """
     folder = scratch_path(t.spark, "exports")
-    entries = {f"export{i}": city for i, city in enumerate(CITY_PROVINCE)}
+    entries = {f"export{i}": city for i, city in enumerate([*CITY_PROVINCE, OTHER_CITY])}
+    place = F.when(F.col("city").isin(list(CITY_PROVINCE)), F.col("city")).otherwise(F.lit(OTHER_CITY))
+    texts = [F.translate(c, "¥", "￥").alias(c) for c in RAW_COLUMNS]
+    rows_ = t.raw_export.select(place.alias("city"), F.concat(F.col("ord").cast("string"), F.lit("号")).alias("编号"), *texts)
     for i, (entry, city) in enumerate(entries.items()):
-        of_city = t.raw_export.where(F.col("city") == city).select(
-            F.concat(F.col("ord").cast("string"), F.lit("号")).alias("编号"),
-            *[F.translate(c, "¥", "￥").alias(c) for c in RAW_COLUMNS],
-        )
-        _write_export(of_city, f"{folder}/{entry}", gbk=i % 2 == 1)
-    read = city_csv.read_city_files(t.spark, folder, entries, ["编号", *RAW_COLUMNS])
+        _write_export(rows_.where(F.col("city") == city).drop("city"), f"{folder}/{entry}", gbk=i % 2 == 1)
+    few = rows_.drop("city")
+    few.select(F.concat(F.encode("编号", "UTF-8"), F.lit(b"\xff\xfe\x80")).cast("string").alias("value")).write.text(f"{folder}/unreadable")
+    header = ",".join(few.columns)
+    cells = ",".join(["1"] * len(few.columns))
+    t.nation.limit(1).select(F.lit(f"{header}\n{cells}\n{cells},2\n{cells}").alias("value")).write.text(f"{folder}/malformed")
+    asked = {**entries, "missing": "失", "unreadable": "码", "malformed": "错"}
+    read = city_csv.read_city_files(t.spark, folder, asked, ["编号", *RAW_COLUMNS])
     texts = [F.col(c).alias(short) for short, c in zip(RAW_SHORT, RAW_COLUMNS)]
     return read.select(F.regexp_extract("编号", r"^(\d+)", 1).cast("long").alias("ord"), "city", *texts)
 

@@ -117,16 +117,18 @@ def _read_together(spark: SparkSession, paths: list[str], encoding: str, multi_l
         .option("mode", "PERMISSIVE")
         .option("encoding", "UTF-8" if encoding == UTF8 else BYTES)
     )
-    cells = reader.csv(paths)
+    names = reader.csv(paths).columns
+    # one column more than the header has: a row that fills it has too many cells
+    fields = [T.StructField(c, T.StringType()) for c in [*names, "_more"]]
+    cells = reader.schema(T.StructType(fields)).csv(paths)
     place = [
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
+        F.col("_more").isNotNull().alias("_malformed"),
     ]
     if encoding == UTF8:
-        return cells.select(*[F.col(f"`{c}`") for c in cells.columns], *place)
-    decoded = [
-        _decode_gbk(F.encode(F.col(f"`{c}`"), BYTES)).alias(c.encode(BYTES).decode(GBK)) for c in cells.columns
-    ]
+        return cells.select(*[F.col(f"`{c}`") for c in names], *place)
+    decoded = [_decode_gbk(F.encode(F.col(f"`{c}`"), BYTES)).alias(c.encode(BYTES).decode(GBK)) for c in names]
     return cells.select(*decoded, *place)
 
 
@@ -137,6 +139,8 @@ def read_city_files(
 
     Result: ``columns`` as text (null where a file lacks one), ``city`` and ``ord``,
     which orders rows by file, in the order of ``cities``, and place in the file.
+    A file that is missing, in neither encoding, or has a row with more cells than
+    its header is left out as a whole, and the others are read.
     ``multi_line`` allows line breaks inside quotes, at the price of one task per
     file; without it large files are split.
     """
@@ -152,9 +156,12 @@ def read_city_files(
     frames = []
     for (encoding, _), paths in sorted(together.items()):
         read = _read_together(spark, paths, encoding, multi_line)
-        frames.append(with_columns_or_null(read, [*columns, "_file", "_block"]).withColumn(
+        malformed = F.broadcast(read.where("_malformed").select("_file").distinct())
+        whole = with_columns_or_null(read, [*columns, "_file", "_block"]).withColumn(
             "_line", F.monotonically_increasing_id()
-        ))
+        )
+        # a row per file at most
+        frames.append(whole.join(malformed, "_file", "left_anti"))
     order = {entry: i for i, entry in enumerate(cities)}
     ranked = sorted(files, key=lambda f: (order[f.entry], f.path))
     known = spark.createDataFrame(

@@ -117,3 +117,22 @@ def test_hold_out_beats_guessing(spark):
 def test_nothing_to_train_on(spark):
     with pytest.raises(NotTrainedError):
         classifier.train(spark.createDataFrame([], "k long, label string, text string"), "k")
+
+
+def test_rows_without_a_label_are_split_too(spark):
+    rows = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(20)], "key long, label string")
+    got = classifier.stratified_split(rows, "key").collect()
+    assert len(got) == 20
+    assert sum(r["is_train"] for r in got if r["label"] is None) == 8 and sum(r["is_train"] for r in got if r["label"]) == 8
+
+
+def test_more_than_two_hundred_labels(spark):
+    rows = spark.createDataFrame([(f"k{i}", f"label{i % 201}", f"wort{i % 201} text") for i in range(201)], "key string, label string, text string")
+    model = classifier.train(rows, "key", config=ClassifierConfig(max_iter=2))
+    assert len(model.labels) == 201
+
+
+def test_a_class_that_stops_early_is_warned_of(spark):
+    rows = classifier.label_rows(spark)
+    with pytest.warns(UserWarning, match="max_iter"):
+        classifier.train(rows, "example_id", config=ClassifierConfig(max_iter=1))

@@ -105,3 +105,8 @@ def test_preview_and_percent(spark):
     assert column(spark, lambda c: clean.preview(c, 3), ["abc", "abcd", " a\n"]) == ["abc", "abc...", " a\n"]
     assert column(spark, clean.percent, [0.12345, 1.0], "double") == [12.3, 100.0]
     assert column(spark, clean.clamp_confidence, [0.2, 1.5], "double") == [0.2, 1.0]
+
+
+def test_price_of_any_length(spark):
+    long = "9" * 45
+    assert column(spark, clean.price_floor, [f"¥{long}", f"¥{long} ¥007", "¥000"]) == [f"¥{long}起", "¥7起", "¥0起"]

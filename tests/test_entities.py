@@ -29,6 +29,21 @@ def test_substrings_equal_brute_force(spark, broadcast):
     assert pairs(found, "qid", "value") == expected
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_null_and_repeated_keys_are_rows_like_others(spark, broadcast):
+    table = spark.createDataFrame([(None, "xaby"), (None, "ab"), (1, "ab"), (1, "cab"), (1, "ab")], "qid long, text string")
+    dictionary = spark.createDataFrame([("ab", 7), ("ab", 8), ("c", 9)], "value string, n long")
+    found = find_substrings(table, build_substring_index(dictionary), broadcast=broadcast)
+    got = sorted(((r["qid"], r["value"], r["n"]) for r in found.collect()), key=str)
+    expected = [(q, "ab", n) for q in (None, None, 1, 1, 1) for n in (7, 8)] + [(1, "c", 9)]
+    assert got == sorted(expected, key=str)
+
+
+def test_all_columns_count_for_the_size(spark):
+    wide = spark.createDataFrame([("ab", "x" * 100_000)] * 30, "value string, payload string")
+    assert build_substring_index(wide).size.bytes > 3_000_000
+
+
 def test_empty_dictionary_finds_nothing(spark):
     index = build_substring_index(spark.createDataFrame([("",)], "value string"))
     texts = spark.createDataFrame([(1, "x")], "qid long, text string")

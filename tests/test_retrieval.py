@@ -126,8 +126,8 @@ def test_hybrid_equals_brute_force(spark, kb, questions, broadcast):
 def test_both_ways_agree_on_random_texts_with_ties(spark, monkeypatch):
     from factlane.operators import retrieval
 
-    monkeypatch.setattr(retrieval, "TILE_QUERIES", 7)
-    monkeypatch.setattr(retrieval, "TILE_DOCUMENTS", 11)
+    monkeypatch.setattr(retrieval, "TILE_BYTES", 2000)
+    monkeypatch.setattr(retrieval, "STEP_QUERIES", 7)
     monkeypatch.setattr(retrieval, "CELLS", 90)
     rng = random.Random(3)
     texts = {i: " ".join("".join(rng.choices("abcde", k=3)) for _ in range(rng.randint(0, 6))) for i in range(80)}
@@ -148,6 +148,43 @@ def test_both_ways_agree_on_random_texts_with_ties(spark, monkeypatch):
     assert totals[0] == totals[1] and len(totals[0]) == 25
 
 
+def test_boosts_are_complete(spark, kb, questions):
+    docs = kb_documents(kb)
+    names, cities, provinces = ({c[i] for c in docs.values() if c[i]} for i in range(3))
+    asked = [text or "" for _, text in QUESTION_ROWS]
+    weights = {}
+    for d, (name, city, _, content) in docs.items():
+        weights.update({("city", v, d): C.BOOST_CITY for v in cities if v == city and any(v in t for t in asked)})
+        weights.update({("province", v, d): C.BOOST_PROVINCE for v in provinces if v in content and any(v in t for t in asked)})
+        for v in names:
+            if any(v in t for t in asked) and (v in name or name in v):
+                weights["name", v, d] = C.BOOST_NAME if v == name else C.BOOST_NAME_PART
+    got = [tuple(r) for r in R.entity_boosts(questions, kb).collect()]
+    assert len(got) == len(set(got)) and {r[:3]: r[3] for r in got} == weights
+    top = {r["qid"]: r["max_boost"] for r in R.question_boosts(questions, kb).collect()}
+    assert len(top) == len(QUESTION_ROWS) and top[5] == top[10] == 0 and top[7] == C.BOOST_NAME
+
+
+def test_hybrid_on_random_tables(spark):
+    from factlane.schemas import KB_SCHEMA
+
+    rng = random.Random(21)
+    kb_rows, asked = [], []
+    for i in range(60):
+        name = "".join(rng.choices("甲乙丙丁", k=rng.randint(1, 3)))
+        city, province = rng.choice(["城A", "城B", "城C"]), rng.choice(["省X", "省Y"])
+        kb_rows.append((i, name, city, province, *[""] * 3, None, *[""] * 4, "".join(rng.choices("天地人和省X城A", k=8)), ""))
+    for q in range(40):
+        parts = [rng.choice(kb_rows)[rng.choice([1, 1, 2, 3])] for _ in range(rng.randint(0, 3))]
+        asked.append((q, "的".join(parts) + rng.choice(["", "天地", "和人"])))
+    kb = spark.createDataFrame(kb_rows, KB_SCHEMA)
+    texts = {r["doc_id"]: r["content"] for r in R.row_documents(kb).collect()}
+    docs = {r[0]: (r[1], r[2], r[3], texts[r[0]]) for r in kb_rows}
+    expected = {q: h for q, h in brute_hits(asked, docs, 3, 0.1).items() if h}
+    questions = spark.createDataFrame(asked, "qid long, text string")
+    assert collected(R.retrieve(questions, R.document_index(kb), entity_index(kb))) == expected
+
+
 def test_duplicate_questions_are_refused(spark, kb):
     twice = spark.createDataFrame([(1, "外滩"), (1, "豫园")], "qid long, text string")
     with pytest.raises(ValueError, match="unique"):
@@ -189,12 +226,22 @@ def test_prompt(spark):
 
 def test_generators(spark):
     asked = spark.createDataFrame([(i, "s", "p" * i) for i in range(6)], "qid long, system_prompt string, prompt string")
-    made = R.generate(asked, RetrievalConfig(provider="LEN"), {"len": R.from_batches(lambda b: b["prompt"].str.len().astype(str))})
+    made = R.generate(asked, RetrievalConfig(provider="LEN"), {"len": R.from_batches(lambda b, config: b["prompt"].str.len().astype(str))})
     assert {r["qid"]: (r["generated"], r["status"]) for r in made.collect()}[3] == ("3", "ok")
 
-    def broken(batch: pd.DataFrame):
+    def broken(batch: pd.DataFrame, config):
         raise RuntimeError("down")
 
+    def one_broken(batch: pd.DataFrame, config):
+        if (batch["qid"] == 3).any():
+            raise RuntimeError("bad row")
+        return batch["qid"].astype(str) + f" at {config.temperature}"
+
+    some = R.generate(asked, RetrievalConfig(provider="x", temperature=0.5), {"x": R.from_batches(one_broken)}).collect()
+    assert {r["qid"]: (r["generated"], r["status"]) for r in some} == {
+        **{i: (f"{i} at 0.5", "ok") for i in (0, 1, 2, 4, 5)}, 3: (None, "error: bad row")
+    }
+
     failed = R.generate(asked, RetrievalConfig(provider="x"), {"x": R.from_batches(broken)}).collect()
     assert len(failed) == 6 and all(r["status"] == "error: down" and r["generated"] is None for r in failed)
     assert all(r["status"].startswith("error") for r in R.generate(asked, RetrievalConfig(provider="unheard of")).collect())
@@ -220,7 +267,7 @@ def test_full_answers(spark, kb, questions):
         assert [d["rank"] for d in r["retrieved_docs"]] == list(range(1, len(r["retrieved_docs"]) + 1))
     generated = retrieval_qa(
         questions, kb, RetrievalConfig(provider="ok", top_k=2), use_llm=True,
-        registered={"ok": R.from_batches(lambda b: b["qid"].astype(str))},
+        registered={"ok": R.from_batches(lambda b, config: b["qid"].astype(str))},
     )
     made = {r["qid"]: r for r in generated.collect()}
     assert made[9]["answer"] == "9" and made[9]["use_llm"]
