@@ -508,21 +508,25 @@ def word_bigrams(t: Tables) -> DataFrame:
     return termindex.word_bigrams(t.documents, "doc_id", "text")
 
 
-def _vocabulary(t: Tables) -> DataFrame:
+def _counted(t: Tables) -> DataFrame:
+    return durable(termindex.with_word_counts(spread_small(t.documents.select("doc_id", "text")), "text").drop("text"))
+
+
+def _vocabulary(counted: DataFrame) -> DataFrame:
     config = ClassifierConfig()
-    terms = termindex.term_idf(termindex.word_and_pair_terms(t.documents, "doc_id", "text"), t.documents)
-    return termindex.prune_vocabulary(terms, t.documents, config.max_features, config.min_df, config.max_df)
+    terms = termindex.term_idf(termindex.count_rows(counted, "doc_id"), counted)
+    return termindex.prune_vocabulary(terms, counted, config.max_features, config.min_df, config.max_df)
 
 
 @query
 def vocab_prune(t: Tables) -> DataFrame:
-    return _vocabulary(t).select("term", "df", "cf")
+    return _vocabulary(_counted(t)).select("term", "df", "cf")
 
 
 @query
 def tfidf_sublinear(t: Tables) -> DataFrame:
-    vocabulary = durable(termindex.numbered(_vocabulary(t)))
-    counted = termindex.with_word_counts(spread_small(t.documents.select("doc_id", "text")), "text")
+    counted = _counted(t)
+    vocabulary = durable(termindex.numbered(_vocabulary(counted)))
     weighted = termindex.with_vectors(counted, vocabulary, sublinear=True)
     return termindex.postings(weighted, vocabulary, "doc_id").select("doc_id", "term", r6("weight").alias("weight"))
 

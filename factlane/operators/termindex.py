@@ -76,7 +76,7 @@ def with_word_counts(texts: DataFrame, text: str, words: bool = True, pairs: boo
     return with_counts(tokens, lambda _: F.concat(*wanted)).drop("_tokens")
 
 
-def _rows(counted: DataFrame, key: str) -> DataFrame:
+def count_rows(counted: DataFrame, key: str) -> DataFrame:
     """The counts as rows.
 
     The outer form, since for the inner one the optimiser adds a test for empty
@@ -87,21 +87,21 @@ def _rows(counted: DataFrame, key: str) -> DataFrame:
 
 def char_terms(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf) of characters and character pairs."""
-    return _rows(with_char_counts(spread_small(texts.select(key, text)), text), key)
+    return count_rows(with_char_counts(spread_small(texts.select(key, text)), text), key)
 
 
 def word_terms(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf) of words."""
-    return _rows(with_word_counts(spread_small(texts.select(key, text)), text, pairs=False), key)
+    return count_rows(with_word_counts(spread_small(texts.select(key, text)), text, pairs=False), key)
 
 
 def word_bigrams(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf) of pairs of neighbouring words."""
-    return _rows(with_word_counts(spread_small(texts.select(key, text)), text, words=False), key)
+    return count_rows(with_word_counts(spread_small(texts.select(key, text)), text, words=False), key)
 
 
 def word_and_pair_terms(texts: DataFrame, key: str, text: str) -> DataFrame:
-    return _rows(with_word_counts(spread_small(texts.select(key, text)), text), key)
+    return count_rows(with_word_counts(spread_small(texts.select(key, text)), text), key)
 
 
 def term_idf(counts: DataFrame, texts: DataFrame) -> DataFrame:
@@ -198,11 +198,16 @@ class TermIndex:
 
 
 def build_index(documents: DataFrame, text: str, max_features: int, key: str = "doc_id") -> TermIndex:
-    """Character TF-IDF of ``documents``; every other column is kept beside the vector."""
-    terms = term_idf(char_terms(documents, key, text), documents)
+    """Character TF-IDF of ``documents``; every other column is kept beside the vector.
+
+    Cutting texts into terms is the costly step, so the counts are written once and
+    read for the statistics and for the weights.
+    """
+    counted = durable(with_char_counts(spread_small(documents), text))
+    terms = term_idf(count_rows(counted, key), counted)
     # written once: documents and, later, every set of queries are weighted by it
-    vocabulary = durable(numbered(prune_vocabulary(terms, documents, max_features)))
-    return TermIndex(vocabulary, with_vectors(with_char_counts(spread_small(documents), text), vocabulary))
+    vocabulary = durable(numbered(prune_vocabulary(terms, counted, max_features)))
+    return TermIndex(vocabulary, with_vectors(counted, vocabulary))
 
 
 def query_vectors(queries: DataFrame, text: str, vocabulary: DataFrame, key: str = "qid") -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from factlane.functions.intents import with_keyword_intent
 from factlane.operators.lexicon import entity_index
 from factlane.operators.substrings import SubstringIndex
-from factlane.plans.rule_qa import rule_qa
+from factlane.plans.rule_qa import answer_sources, rule_qa
+from factlane.scale import durable
 
 
 def stream_rule_qa(
@@ -25,12 +26,14 @@ def stream_rule_qa(
 
     Each micro-batch runs the batch plan and overwrites its own folder
     ``batch=<id>``, so a batch replayed after a failure replaces itself.  The
-    dictionary is built once, before the stream starts.
+    dictionary, the slots and the city lists are made once, before the stream starts.
     """
+    kb = durable(kb)
     index = index or entity_index(kb)
+    sources = tuple(durable(x) for x in answer_sources(kb))
 
     def answer_batch(batch: DataFrame, batch_id: int) -> None:
-        rule_qa(batch, kb, index=index).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        rule_qa(batch, kb, index=index, sources=sources).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     writer = questions.writeStream.foreachBatch(answer_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
