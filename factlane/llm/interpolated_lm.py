@@ -354,11 +354,11 @@ def score(docs: DataFrame) -> DataFrame:
     counted = keep(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_counted(n, totals), COUNTED), "lm_tokens")
     evidence = counted.where(F.size("cells") > 0).select(F.explode(F.arrays_zip("cells", "weights")).alias("c"))
     # at most BUCKETS * (OCTAVES * STEPS + 2)^2 cells, however large the corpus
-    cells = evidence.groupBy("c.cells").agg(F.sum("c.weights").alias("weights")).orderBy("cells").toPandas()
+    cells = evidence.groupBy("c.cells").agg(F.sum("c.weights").alias("weights")).orderBy("cells").toArrow()
     if not totals.tokens:
         weights = np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
     else:
-        weights = learn_weights(cells["cells"].to_numpy(np.int64), cells["weights"].to_numpy(float), totals.words)
+        weights = learn_weights(cells.column("cells").to_numpy(), cells.column("weights").to_numpy().astype(float), totals.words)
     texts = counted.where("n_tokens IS NOT NULL").drop("cells", "weights")
     return texts.mapInArrow(
         _scored(weights, totals),

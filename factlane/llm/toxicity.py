@@ -134,6 +134,9 @@ class ClassModels:
         own = [Level.of(grams[c > 0], c[c > 0], discount) for c in (toxic, ordinary)]
         models = cls(own[0], own[1], levels[::-1], order)
         models.met = Table(grams, models.log_ratio([grams & ((1 << (8 * n)) - 1) for n in range(1, order + 1)]))
+        # an n-gram that isn't among these is in neither class
+        none = np.empty(0)
+        models.toxic.seen = models.ordinary.seen = Table(none.astype(np.int64), none)
         return models
 
     def log_ratio(self, grams: list[np.ndarray]) -> np.ndarray:
@@ -219,13 +222,14 @@ def gram_counts(sampled: DataFrame, order: int = ORDER) -> DataFrame:
     return counted.groupBy("gram", "label", "fold").agg(F.sum("n").alias("n"))
 
 
-def models_of(counted, order: int, left_out: int | None = None) -> ClassModels | None:
-    """Models from the pandas table of ``gram_counts`` without one fold; none if a class is missing."""
-    used = counted[counted["fold"] != left_out]
-    if used["label"].nunique() < 2:
+def models_of(counted: dict[str, np.ndarray], order: int, left_out: int | None = None) -> ClassModels | None:
+    """Models from the columns of ``gram_counts`` without one fold; none if a class is missing."""
+    used = counted["fold"] != left_out
+    label = counted["label"][used]
+    if len(np.unique(label)) < 2:
         return None
-    grams, at = np.unique(used["gram"].to_numpy(), return_inverse=True)
-    toxic, ordinary = (np.bincount(at, used["n"] * (used["label"] == value), len(grams)) for value in (1, 0))
+    grams, at = np.unique(counted["gram"][used], return_inverse=True)
+    toxic, ordinary = (np.bincount(at, counted["n"][used] * (label == value), len(grams)) for value in (1, 0))
     return ClassModels.fit(grams, toxic, ordinary, order)
 
 
@@ -236,7 +240,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     known = labels.where(F.col(label).isin(0, 1))
     share = known.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
     # n-grams of a bounded sample
-    counted = gram_counts(sampled, order).toPandas()
+    table = gram_counts(sampled, order).toArrow()
+    counted = {name: table.column(name).to_numpy() for name in table.column_names}
+    del table
     parts = {fold: models_of(counted, order, fold) for fold in range(4)}
     if any(models is None for models in parts.values()):
         return ToxicityModel(None, np.zeros(1 + FEATURES), share)
