@@ -91,7 +91,64 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
 
+BLANKS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+def _quality_oracle() -> str:
+    """Counts by plain joins and windows; the model's rounds as a recursive table of one row a round."""
+    rules, n = quality_rules.RULES, len(quality_rules.RULES)
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    left = lambda characters: f"length(translate(bare, {quoted(characters)}, ''))"
+    votes = " || ".join(f"CASE WHEN {good} THEN '1' WHEN {bad} THEN '0' ELSE '-' END" for good, bad in rules.values())
+    odds = "ln(share / (1 - share))" + "".join(
+        f" + CASE substr(votes, {j}, 1) WHEN '1' THEN 1 WHEN '0' THEN -1 ELSE 0 END * ln(accuracy[{j}] / (1 - accuracy[{j}]))"
+        for j in range(1, n + 1)
+    )
+    accuracy = ", ".join(
+        f"greatest({quality_rules.MIN_ACCURACY}, (4 + sum(n * CASE substr(votes, {j}, 1) WHEN '1' THEN q WHEN '0' THEN 1 - q ELSE 0 END))"
+        f" / (5 + sum(CASE WHEN substr(votes, {j}, 1) <> '-' THEN n ELSE 0 END)))"
+        for j in range(1, n + 1)
+    )
+    return f"""
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {WORDS} AS w,
+                translate(coalesce(text, ''), {BLANKS}, '') AS bare,
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, {BLANKS}) <> '') AS lines
+            FROM documents),
+        windows AS (
+            SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+            FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+        repeated AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS k FROM windows) WHERE k > 1),
+        covered AS (
+            SELECT r, count(DISTINCT i + x) AS k FROM repeated, (VALUES (0), (1), (2)) t(x) GROUP BY r),
+        counts AS (
+            SELECT doc_id, len(w)::BIGINT AS n_words, length(bare)::BIGINT AS word_chars,
+                (length(bare) - {left(quality_rules.SYMBOLS)})::BIGINT AS n_symbols,
+                (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+                coalesce(covered.k, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
+                len(list_distinct(w)) AS n_distinct_words, length(bare) - {left(quality_rules.CAPITALS)} AS n_capitals,
+                length(bare) - {left("!?")} AS n_shouts, {left(quality_rules.NO_LETTERS)} AS n_letters
+            FROM d LEFT JOIN covered USING (r)),
+        voted AS (SELECT *, {votes} AS votes FROM counts),
+        patterns AS (SELECT votes, count(*)::DOUBLE AS n FROM voted GROUP BY votes),
+        model AS (
+            SELECT 0 AS i, 0.8::DOUBLE AS share, [{", ".join(["0.8::DOUBLE"] * n)}] AS accuracy
+            UNION ALL
+            SELECT i + 1, (1 + sum(n * q)) / (2 + sum(n)), [{accuracy}]
+            FROM (SELECT i, votes, n, 1 / (1 + exp(-({odds}))) AS q FROM model, patterns WHERE i < {quality_rules.ITERATIONS})
+            GROUP BY i),
+        rated AS (
+            SELECT votes, 1 / (1 + exp(-({odds}))) AS quality FROM patterns, model WHERE i = {quality_rules.ITERATIONS})
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
+            NOT failed AND quality >= {quality_rules.MIN_QUALITY} AS kept
+        FROM (SELECT *, n_words < {quality_rules.MIN_WORDS}
+                OR 100 * n_repeat_words > {quality_rules.MAX_REPEATED_PERCENT} * n_words AS failed FROM voted)
+        JOIN rated USING (votes)
+    """
+
+
 ORACLE: dict[str, str] = {
+    "op2_quality_rules": _quality_oracle(),
     "op4_pivot_search": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
