@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlane.functions.terms import grams
-from factlane.scale import BROADCAST_BYTES, Size, durable, measure, spread_small
+from factlane.scale import BROADCAST_BYTES, Size, durable, row_bytes, spread_small
 
 ANCHOR_LENGTHS = (16, 8, 4, 2, 1)
 # a hash among those sent around
@@ -64,8 +64,12 @@ def build_substring_index(dictionary: DataFrame, value: str = "value") -> Substr
         .select("value", F.col("rarest.piece").alias("anchor"))
     )
     written = durable(entries.join(anchors, "value"))
-    lengths = written.agg(F.collect_set(F.length("anchor")).alias("lengths")).first()["lengths"]
-    return SubstringIndex(written, tuple(sorted(lengths)), measure(written))
+    facts = written.agg(
+        F.count("*").alias("rows"),
+        F.coalesce(F.sum(row_bytes(written)), F.lit(0)).alias("bytes"),
+        F.collect_set(F.length("anchor")).alias("lengths"),
+    ).first()
+    return SubstringIndex(written, tuple(sorted(facts["lengths"])), Size(facts["rows"], facts["bytes"]))
 
 
 def text_pieces(texts: DataFrame, key: str, text: str, lengths: tuple[int, ...]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 * ``durable`` writes a table once to the shared folder the cluster names and reads
   it back, so a lost executor costs a re-read, not a different answer.
-* ``measure`` gives the size that a decision to broadcast is based on.
+* ``row_bytes`` measures what a decision to broadcast is based on.
 * ``salted_lookup`` joins facts to a one-row-per-key table when one key, or the
   null key, may hold a large share of the facts.
 """
@@ -82,12 +82,6 @@ def row_bytes(df: DataFrame) -> Column:
     return total
 
 
-def measure(df: DataFrame) -> Size:
-    """The rows and bytes of a table, counted."""
-    found = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("bytes")).first()
-    return Size(found["rows"], found["bytes"])
-
-
 def spread_small(df: DataFrame) -> DataFrame:
     """Uses all cores where a small input alone would not.
 
