@@ -51,9 +51,10 @@ def row_documents(kb: DataFrame) -> DataFrame:
 
 
 def document_index(kb: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> TermIndex:
-    """The index of a knowledge base; its documents are written out once, since
-    counting, weighting, scoring and prompting all read them."""
-    return build_index(durable(row_documents(kb), all_cores=True), "content", config.max_features)
+    """The index of a knowledge base; its documents are written with their vectors,
+    since two searches and the prompts all read them."""
+    index = build_index(row_documents(kb), "content", config.max_features)
+    return TermIndex(index.vocabulary, durable(index.documents))
 
 
 def retrieve(
