@@ -302,10 +302,19 @@ SLOT_VALUE = "CASE field " + " ".join(f"WHEN '{f}' THEN s.{f}" for f in C.DOCUME
 ORACLE["slot_fill"] = f"""{rules(QUESTIONS_CTE)}, {SLOT_ROWS}
 SELECT qid, intent, field, {SLOT_VALUE} AS value
 FROM answered JOIN slot_fields ON intent = intent_name JOIN slots s ON row_id = s.dataid"""
-ORACLE["render_answer"] = f"""{with_(KB_CTE, QUESTIONS_CTE, INTENTS, SLOTS, FIRST_ROWS)}
-SELECT i.qid AS qid, intent, {rendered(C.CLASSIFIER_TEMPLATES, C.CLASSIFIER_DEFAULT_TEMPLATE)} AS answer
-FROM intents i JOIN questions q ON i.qid = q.qid JOIN firsts f ON split_part(q.text, '的', 1) = f.name
-JOIN slots s ON f.dataid = s.dataid"""
+STYLES = " UNION ALL ".join(
+    f"SELECT qid, intent, {lit(style)} AS style, CASE WHEN s.dataid IS NOT NULL THEN {rendered(templates, default)} END AS answer "
+    "FROM requests LEFT JOIN slots s ON row_id = s.dataid"
+    for style, templates, default in (
+        ("rules", C.RULE_TEMPLATES, C.RULE_DEFAULT_TEMPLATE),
+        ("classifier", C.CLASSIFIER_TEMPLATES, C.CLASSIFIER_DEFAULT_TEMPLATE),
+    )
+)
+ORACLE["render_answer"] = f"""{with_(KB_CTE, QUESTIONS_CTE, INTENTS, SLOTS, FIRST_ROWS)},
+requests AS (
+  SELECT i.qid AS qid, intent, f.dataid AS row_id
+  FROM intents i JOIN questions q ON i.qid = q.qid LEFT JOIN firsts f ON split_part(q.text, '的', 1) = f.name)
+{STYLES}"""
 
 # --- terms and retrieval --------------------------------------------------------
 
