@@ -9,9 +9,7 @@ from factlane import constants as C
 from factlane.catalog.queries import OTHER_CITY, PART_REPAIR_CITY, PART_REPAIRS, PROSE_TAGS, RAW_SHORT
 from factlane.catalog.views import KB, QUESTIONS, RAW_RENAMES, RAW_ROWS, REQUESTS, TURNS
 from factlane.config import ClassifierConfig, RetrievalConfig
-from factlane.functions import clean
 from factlane.functions.render import fields_of
-from factlane.functions.terms import HAN, WORD
 from factlane.training_set import TRAINING_TEXTS
 
 ORACLE: dict[str, str] = {}
@@ -49,7 +47,19 @@ KB_CTE = f"kb AS ({KB})"
 QUESTIONS_CTE = f"questions AS ({QUESTIONS})"
 REQUESTS_CTE = f"requests AS ({REQUESTS})"
 RAW_CTE = f"raw_rows AS ({RAW_ROWS})"
-WS = lit(clean.SPACES)
+# The patterns, written out once more from what the fields look like, not taken from the code they check.
+BLANK = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+BLANKS = f"[{BLANK}]*"
+WS = lit(f"[{BLANK}]+")
+CHINESE = "一-鿿"
+TOKEN = f"([{CHINESE}]{{2,}}|(?:[^\\PL{CHINESE}]|[\\pN_]){{2,}})"
+ADDRESS_FIELD = f"地址(?:：|:){BLANKS}([^\n电话官网]+)"
+PHONE_FIELD = f"电话(?:：|:){BLANKS}([-\\p{{Nd}},，{BLANK}]+)"
+WEBSITE_FIELD = f"官网(?:：|:){BLANKS}(https?://[^{BLANK}]+)"
+LEADING_NAME = "^((?:[一-龥]|[·（）()]|\\p{Nd})+)"
+CLOCK = "\\p{Nd}{1,2}(?:：|:)\\p{Nd}{2}"
+OPENING_HOURS = f"({CLOCK}{BLANKS}(?:-|至|到){BLANKS}{CLOCK})"
+DURATION = f"建议游览时间(?:：|:)?{BLANKS}"
 
 
 # --- cleaning ----------------------------------------------------------------
@@ -60,21 +70,21 @@ def text_(c: str) -> str:
 
 
 def address(c: str) -> str:
-    found = f"regexp_extract(coalesce({c}, ''), {lit(clean.ADDRESS)}, 1)"
+    found = f"regexp_extract(coalesce({c}, ''), {lit(ADDRESS_FIELD)}, 1)"
     return f"CASE WHEN {found} <> '' THEN {text_(found)} ELSE {text_(c)} END"
 
 
 def phone(c: str) -> str:
-    found = f"regexp_extract(coalesce({c}, ''), {lit(clean.PHONE)}, 1)"
-    return f"trim(regexp_replace({found}, {lit('[，' + clean.SPACE + ']+')}, ',', 'g'), ',')"
+    found = f"regexp_extract(coalesce({c}, ''), {lit(PHONE_FIELD)}, 1)"
+    return f"trim(regexp_replace({found}, {lit(f'[，{BLANK}]+')}, ',', 'g'), ',')"
 
 
 def website(c: str) -> str:
-    return f"regexp_extract(coalesce({c}, ''), {lit(clean.WEBSITE)}, 1)"
+    return f"regexp_extract(coalesce({c}, ''), {lit(WEBSITE_FIELD)}, 1)"
 
 
 def head_name(c: str) -> str:
-    found = f"regexp_extract(coalesce({c}, ''), {lit(clean.NAME_HEAD)}, 1)"
+    found = f"regexp_extract(coalesce({c}, ''), {lit(LEADING_NAME)}, 1)"
     return f"CASE WHEN {found} <> '' THEN {text_(found)} ELSE {text_(c)} END"
 
 
@@ -92,7 +102,7 @@ def price(c: str) -> str:
 
 
 def hours(c: str) -> str:
-    found = f"regexp_extract({text_(c)}, {lit(clean.HOURS)}, 1)"
+    found = f"regexp_extract({text_(c)}, {lit(OPENING_HOURS)}, 1)"
     return (
         f"CASE WHEN length({text_(c)}) > 100 AND {found} <> '' THEN {found} "
         f"WHEN length({text_(c)}) > 100 AND contains({text_(c)}, '全天') THEN '全天开放' "
@@ -101,7 +111,7 @@ def hours(c: str) -> str:
 
 
 def duration(c: str) -> str:
-    return text_(f"regexp_replace(coalesce({c}, ''), {lit(clean.DURATION_LABEL)}, '', 'g')")
+    return text_(f"regexp_replace(coalesce({c}, ''), {lit(DURATION)}, '', 'g')")
 
 
 def cut(c: str, n: int) -> str:
@@ -487,9 +497,9 @@ LEFT JOIN prompts p ON e.qid = p.qid LEFT JOIN templates t ON e.qid = t.qid"""
 
 def tokens(source: str, key: str, text: str) -> str:
     """CTE ``tokens``: (k, ts), the words of each text in order."""
-    return f"""runs AS (SELECT {key} AS k, regexp_extract_all(lower({text}), {lit(WORD)}, 1) AS rs FROM {source}),
+    return f"""runs AS (SELECT {key} AS k, regexp_extract_all(lower({text}), {lit(TOKEN)}, 1) AS rs FROM {source}),
 tokens AS (
-  SELECT k, flatten(list_transform(rs, lambda r: CASE WHEN regexp_matches(r, {lit('^[' + HAN + ']')})
+  SELECT k, flatten(list_transform(rs, lambda r: CASE WHEN regexp_matches(r, {lit(f'^[{CHINESE}]')})
     THEN list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) ELSE [r] END)) AS ts FROM runs)"""
 
 
