@@ -152,7 +152,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENT
         "entry",
         lambda x: (x < F.col("fingerprint")) & (F.bit_count(x.bitwiseXOR(F.col("fingerprint"))) <= max_bits),
     )
-    found = probes.join(table, "value").select("fingerprint", near.alias("near")).where(F.size("near") > 0)
+    # probes are many times what Spark takes them for, so they must not be sent around
+    found = probes.hint("merge").join(table, "value").select("fingerprint", near.alias("near")).where(F.size("near") > 0)
     return found.mapInArrow(_forests, "hi long, lo long")
 
 
@@ -229,8 +230,9 @@ def keep_one_of_each(
     shared = times.where("times > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_shared"))
     if not shared.head(1):
         return kept
-    rows = docs.join(shared, F.col("doc_id").eqNullSafe(F.col("_shared"))).drop("_shared")
+    own = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_doc")
+    rows = docs.join(shared, docs["doc_id"].eqNullSafe(shared["_shared"])).select(own, docs["doc_id"], docs["text"])
     rows = keep(rows.withColumn("_row", F.monotonically_increasing_id()), "shared_ids")
     of_row = fingerprints(rows.select("_row", "doc_id", "text"), shingle_words).join(named, "fingerprint")
     first = of_row.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("_row").alias("_row"))
-    return kept.union(rows.join(first.select("_row"), "_row").select(*[f"`{c}`" for c in docs.columns]))
+    return kept.union(rows.join(first.select("_row"), "_row").select("_doc.*"))

@@ -105,7 +105,7 @@ def test_spanning_forest_and_stars(spark):
 def test_one_of_each_stays(spark):
     a, b = "one two three four five " * 9, "six seven eight nine ten " * 9
     rows = [(1, a, "p"), (2, a, "q"), (3, b, "r"), (3, b, "r"), (2, b, "s"), (None, a, "t"), (None, "alone " * 9, "u"), (None, "alone " * 9, "v"), (7, None, "w")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, _stays string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string")
     kept = keep_one_of_each(docs)
     assert kept.columns == docs.columns
     got = Counter((r.doc_id, r.text) for r in kept.collect())
