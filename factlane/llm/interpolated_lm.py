@@ -47,9 +47,9 @@ from .store import keep
 FOLDS = 5
 #: Remainder of crc32(doc_id) of the texts that nothing is learned from, and of those the weights are learned on.
 TEST_FOLD, DELETED_FOLD = 1, 0
-BLOCK_TOKENS = 1_200_000
+BLOCK_TOKENS = 800_000
 #: Questions answered by one task, about.
-RANGE_TOKENS = 2_000_000
+RANGE_TOKENS = 1_200_000
 END_HASH = 0x9E3779B97F4A7C15
 #: Steps per octave in which the estimates of held-out tokens are counted, and EM steps.
 STEPS, ITERATIONS = 4, 60
