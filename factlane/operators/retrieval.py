@@ -167,8 +167,9 @@ def _run(queries: DataFrame, documents: DataFrame, scoring: Scoring, method: str
     if broadcast is None:
         broadcast = size["bytes"] <= QUERY_BYTES
     if not broadcast:
-        gid = F.lit(0).cast("long").alias("gid")
-        return _in_tiles(written.select("*", gid), searched.select("*", gid), scoring, method, schema)
+        # one group; not written as a constant, since a join on one is no longer by key
+        one = [F.pmod(F.xxhash64(key), F.lit(1)).alias("gid") for key in ("qid", "doc_id")]
+        return _in_tiles(written.select("*", one[0]), searched.select("*", one[1]), scoring, method, schema)
     # the sparse vectors, measured above; each task makes dense blocks of them
     shared = documents.sparkSession.sparkContext.broadcast(written.toPandas())
 
