@@ -31,7 +31,7 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    return quality_rules.judge(docs).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
+    return quality_rules.judge(docs, keep_text=False).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
 def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
