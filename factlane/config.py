@@ -39,14 +39,18 @@ class RetrievalConfig:
 
 @dataclass(frozen=True)
 class ClassifierConfig:
-    """Term, vocabulary and SVM settings of the intent classifier."""
+    """Term, vocabulary and SVM settings of the intent classifier.
+
+    Training runs until the loss changes by less than ``tolerance`` (relative), for
+    ``max_iter`` steps at most; a class that reaches the limit is warned of.
+    """
 
     max_features: int = 5000
     min_df: int = 1
     max_df: float = 0.95
     c: float = 1.0
-    tolerance: float = 1e-4
-    max_iter: int = 10_000
+    tolerance: float = 1e-3
+    max_iter: int = 100
     train_fraction: float = 0.8
     seed: int = 42
     parallelism: int = 8
