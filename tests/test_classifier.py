@@ -136,3 +136,8 @@ def test_a_class_that_stops_early_is_warned_of(spark):
     rows = classifier.label_rows(spark)
     with pytest.warns(UserWarning, match="max_iter"):
         classifier.train(rows, "example_id", config=ClassifierConfig(max_iter=1))
+
+
+def test_defaults_train_to_convergence():
+    # the reference trains with max_iter=10000 and the usual tolerance of 1e-4
+    assert (ClassifierConfig().tolerance, ClassifierConfig().max_iter) == (1e-4, 10_000)
