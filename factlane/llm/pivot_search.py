@@ -10,8 +10,9 @@ nearest vectors are those of the largest product.  Distances only decide where t
 exact products of whole numbers (below 2^53).
 
 * Pivots are chosen from a bounded sample; every vector is indexed.
-* Of equal vectors only the k + 1 with the smallest ids can be among a query's k hits, so copies beyond those are
-  left out of the index, however many there are; all vectors that are queries ask.
+* Of equal vectors only those with the k + 1 smallest distinct ids can be among a query's k hits, and of rows that
+  repeat both id and vector only k, so copies beyond those are left out of the index, however many there are; all
+  vectors that are queries ask.
 * A ring with many vectors is several blocks, and queries come to a ring in blocks too; the join on rings has one
   row per pair of blocks, and each such row gives a query's best k in it.
 * The first round visits each query's most promising rings, which gives its k-th best score; the second visits those
@@ -183,9 +184,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # of equal vectors the k + 1 smallest ids: a query can skip one of them as its own
+    # of equal vectors the k + 1 smallest distinct ids, as a query skips all rows with its own; k rows of each can be hits
     same = Window.partitionBy("x").orderBy("id")
-    several = vectors.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1).drop("_n")
+    several = vectors.groupBy("id", "x").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("_rows"))
+    several = several.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1)
+    several = several.select("id", "x", F.explode(F.array_repeat(F.lit(0), F.col("_rows"))).alias("_row")).drop("_row")
     several = keep(several, "distinct_vectors")
     squares = F.aggregate("x", F.lit(0.0), lambda a, b: a + b * b)
     n, longest, width = several.agg(F.count("*"), F.max(squares), F.max(F.size("x"))).first()

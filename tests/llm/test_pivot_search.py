@@ -44,6 +44,15 @@ def test_few_vectors_and_none(spark):
     assert found(spark, [(1, [1.0]), (2, [1.0])]) == []
 
 
+def test_repeated_rows_inside_a_group_of_copies(spark):
+    x, y = [1.0, 2.0], [0.5, 0.5]
+    rows = [(50, x), (50, x), *[(i, x) for i in range(51, 56)], (100, y), (101, y)]
+    assert found(spark, rows) == plain(rows)
+    # every row doubled, and one row more often than there are hits
+    rows = [(i, v) for v, first in ((x, 0), (y, 40), ([2.0, -1.0], 97)) for i in range(first, first + 12)] * 2 + [(3, x)] * 9
+    assert found(spark, rows) == plain(rows)
+
+
 def test_bounds_hold():
     import numpy as np
 
