@@ -8,8 +8,8 @@ Writing makes two Parquet tables below one folder:
 Of records with equal payloads (of at least ``min_revisit_bytes``) the one with the
 largest page id is the response, the others are revisits that refer to it.  Reading
 joins the two tables, computes the digests of every stored payload anew, fails on
-a payload that isn't what its key says, and gives back the original records, byte
-for byte.  ``export_warc`` writes them as one stream of WARC/1.1 per file.
+a payload that isn't what its key says or a record that isn't what its header says,
+and gives back the original records, byte for byte.  ``export_warc`` writes them as one stream of WARC/1.1 per file.
 
 A payload held by a third of all records is stored once: before the shuffle each
 task keeps one row of each payload.  The joins are on tables that lie in files, so
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import keep, new_path
+from .store import keep, new_path, write_once
 
 #: Fixed: digits that Spark's conv() gives for base 32, and those of RFC 4648.
 CONV_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -74,7 +74,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> No
     order = F.struct("page_id", "number")
     first = listed.groupBy("sha256").agg(F.max_by(F.struct("page_id", "number", "url"), order).alias("of"))
     first = keep(first.select("sha256", *[F.col(f"of.{c}").alias(f"first_{c}") for c in ("page_id", "number", "url")]), "responses")
-    rows.groupBy("sha256").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
+    write_once(rows.groupBy("sha256").agg(F.first("payload").alias("payload")), f"{path}/payloads")
     listed = listed.join(first, "sha256")
     revisit = (F.col("bytes") >= min_revisit_bytes) & (F.col("number") != F.col("first_number"))
     kind = F.when(revisit, "revisit").otherwise("response")
@@ -120,7 +120,22 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     joined = records.join(verified_payloads(spark, path), "sha256")
     block = F.when(field(F.col("header"), "WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     return joined.select(
-        "number", *_fields(), F.concat("header", block, F.lit((END * 2).encode())).alias("record"), "payload"
+        "number", *_fields(), F.concat("header", block, F.lit((END * 2).encode())).alias("record"), "payload", "header"
+    ).select("number", "page_id", "payload_bytes", _checked().alias("payload_digest"), "record_type", "refers_to", "record", "payload")
+
+
+def _checked() -> Column:
+    """The digest, an error unless the record's block and its end lie where Content-Length says and have the header's digest."""
+    header, record = F.col("header"), F.col("record")
+    start, length = F.octet_length(header), field(header, "Content-Length").cast("int")
+    whole = (F.octet_length(record) == start + length + len(END) * 2) & (
+        F.substring(record, start + length + 1, F.lit(len(END) * 2)) == F.lit((END * 2).encode())
+    )
+    content = F.when(F.col("record_type") == "revisit", F.col("payload")).otherwise(F.substring(record, start + 1, length))
+    digest = F.concat(F.lit("sha1:"), base32_sha1(content))
+    right = whole & (digest == field(header, "WARC-Payload-Digest"))
+    return F.when(right, F.col("payload_digest")).otherwise(
+        F.raise_error(F.concat(F.lit("record does not have the length or digest of its header: "), F.coalesce(field(header, "WARC-Record-ID"), F.lit("?"))))
     )
 
 
@@ -148,7 +163,7 @@ def export_warc(spark: SparkSession, path: str, to: str) -> None:
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` to an archive in the shared folder and read its index back."""
+    """Write ``pages`` to an archive in the shared folder and read its records back: the fields of each, checked on the rebuilt record."""
     path = new_path(pages.sparkSession, "archive")
     write_archive(pages, path)
-    return read_index(pages.sparkSession, path)
+    return read_records(pages.sparkSession, path).drop("record", "payload")

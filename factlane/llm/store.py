@@ -39,20 +39,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """``df`` written to the shared folder, and a table that reads it.
-
-    What was shuffled for it goes when it is written: nothing reads it again.
-    """
+def write_once(df: DataFrame, path: str, codec: str = "zstd") -> None:
+    """``df`` written to ``path``.  What was shuffled for it goes when it is written: nothing reads it again."""
     spark = df.sparkSession
-    path = new_path(spark, name)
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """``df`` written to the shared folder, and a table that reads it."""
+    path = new_path(df.sparkSession, name)
+    write_once(df, path, codec)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_kept(spark: SparkSession) -> None:

@@ -97,5 +97,21 @@ def test_a_changed_payload_is_found_out(spark, pages):
         archive.read_index(spark, f"{path}-bad").collect()
 
 
+def test_a_changed_header_is_found_out(spark, pages, monkeypatch):
+    df, _ = pages
+    write = archive.write_archive
+
+    def write_wrong(pages, path, *args):
+        write(pages, f"{path}-good", *args)
+        spark.read.parquet(f"{path}-good/payloads").write.parquet(f"{path}/payloads")
+        text = F.col("header").cast("string")
+        wrong = F.regexp_replace(text, r"Content-Length: (\d+)", "Content-Length: 1$1").cast("binary")
+        spark.read.parquet(f"{path}-good/records").withColumn("header", wrong).write.parquet(f"{path}/records")
+
+    monkeypatch.setattr(archive, "write_archive", write_wrong)
+    with pytest.raises(Exception, match="length or digest of its header"):
+        archive.archive_round_trip(df).collect()
+
+
 def test_empty_table(spark):
     assert archive.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
