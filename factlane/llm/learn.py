@@ -19,7 +19,8 @@ def learnable(labels: DataFrame) -> DataFrame:
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: str) -> DataFrame:
     """``text``, ``label`` (0 or 1) and ``fold`` (0..3) of at most ``per_class`` labelled texts of each class.
 
-    The ids with the smallest seeded hashes; only those ids are looked up in ``docs``.
+    The ids with the smallest seeded hashes; only those ids are looked up in ``docs``, and of rows with equal ids the
+    one whose text has the smallest hash is taken.
     """
     hashed = F.xxhash64(F.lit(seed), F.col("doc_id"))
     light = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
@@ -31,7 +32,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed:
     fold = F.pmod(F.col("_h"), F.lit(4)).cast("int")
     # at most 2 * per_class ids
     ids = F.broadcast(picked.select("doc_id", "label", fold.alias("fold")))
-    return docs.select("doc_id", "text").join(ids, "doc_id").select("text", "label", "fold")
+    found = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id", "label", "fold")
+    return found.agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "label", "fold")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:

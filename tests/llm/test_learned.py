@@ -129,3 +129,14 @@ def test_logistic_and_share():
     assert abs(w[0] - 0.5) < 0.2 and abs(w[1] - 2) < 0.3
     assert learn.for_share(w, 0.5, 0.5) == pytest.approx(w)
     assert learn.for_share(w, 0.5, 0.1)[0] < w[0]
+
+
+def test_sample_holds_one_row_of_each_id(spark):
+    from factlane.llm.learn import sample
+
+    docs = spark.createDataFrame([(0, f"text {i}") for i in range(50)] + [(i, f"own {i}") for i in range(1, 9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, toxic int")
+    got = sample(docs, labels, "toxic", 10, "seed").collect()
+    assert len(got) == 9 and sorted(r.label for r in got) == [0] * 5 + [1] * 4
+    assert {r.text for r in got} > {f"own {i}" for i in range(1, 9)}
+    assert {tuple(r) for r in got} == {tuple(r) for r in sample(docs.repartition(3), labels, "toxic", 10, "seed").collect()}
