@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, chat, compression, interpolated_lm, mixing, near_copies, packing, pivot_search, quality_rules, toxicity
+from . import (
+    archive, chat, compression, interpolated_lm, mixing, near_copies, packing, pivot_search, prefix_trie, quality_rules, repeats, spelling,
+    toxicity,
+)
 from .learn import learnable
 from .text import n_words, remainder
 
@@ -76,6 +79,20 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies.near_copies(_table(spark, folder, "documents"))
 
 
+def op11_superkmers(spark: SparkSession, folder: str) -> DataFrame:
+    out = repeats.remove_repeats(_table(spark, folder, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["first"])
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_table(spark, folder, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -87,12 +104,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_interpolated_lm": op9_interpolated_lm,
     "op10_simhash": op10_simhash,
+    "op11_superkmers": op11_superkmers,
+    "op12_spelling": op12_spelling,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
 
 BLANKS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
+#: The table of crc32 in ``crc(t)``, a row.
+CRC_TABLE = """crc AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, x:
+                CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of the UTF-8 of a column beside ``crc``."""
+    octets = f"list_transform(range(1, 2 * strlen({text}), 2), lambda i: ('0x' || substr(hex({text}), i, 2))::BIGINT)"
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"""
+
 
 def _quality_oracle() -> str:
     """Counts by plain joins and windows; the model's rounds as a recursive table of one row a round."""
@@ -211,4 +242,82 @@ ORACLE: dict[str, str] = {
         FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
         JOIN picked ON picked.source IS NOT DISTINCT FROM d.source AND picked.h = d.h
     """,
+    "op11_superkmers": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+        windows AS (
+            SELECT r, i, array_to_string(w[i:i + 34], ' ') AS g
+            FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+        repeated AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY g) AS k FROM windows) WHERE k > 1),
+        gone AS (SELECT DISTINCT r, i + x AS i FROM repeated, range(35) t(x)),
+        kept AS (
+            SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text
+            FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) ANTI JOIN gone USING (r, i) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (r)
+    """,
+    "op12_spelling": f"""
+        WITH RECURSIVE {CRC_TABLE},
+        tokens AS (
+            SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+        lowered AS (
+            SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS key, run, n FROM (
+                SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+                FROM tokens GROUP BY ALL)),
+        hashed AS (SELECT run, n, {_crc32("key")} AS h FROM lowered, crc),
+        counts AS (
+            SELECT word, sum(n)::BIGINT AS n FROM (
+                SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n
+                FROM hashed)
+            WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        gaps AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS z FROM counts, range(1, length(word) + 1) t(i)),
+        pairs AS (
+            SELECT x.word, y.word AS other, y.n AS other_n FROM gaps x JOIN gaps y ON x.a = y.a AND x.z = y.z AND x.word <> y.word
+            UNION SELECT c.word, g.word, g.n FROM counts c JOIN gaps g ON c.word = g.a || g.z
+            UNION SELECT g.word, c.word, c.n FROM counts c JOIN gaps g ON c.word = g.a || g.z),
+        near AS (SELECT word, count(*) AS n_near, max(other_n) AS top FROM pairs GROUP BY word),
+        best AS (SELECT word, top, min(other) AS other FROM pairs JOIN near USING (word) WHERE other_n = top GROUP BY word, top),
+        formed AS (
+            SELECT c.word, CASE WHEN top >= 2 * c.n THEN other END AS form, c.n, coalesce(n_near, 0)::BIGINT AS n_near,
+                CASE WHEN top >= 2 * c.n THEN top END AS form_n
+            FROM counts c LEFT JOIN near USING (word) LEFT JOIN best USING (word, top)),
+        walk AS (
+            SELECT word, word AS at, form AS next FROM formed
+            UNION ALL SELECT walk.word, formed.word, formed.form FROM walk JOIN formed ON walk.next = formed.word)
+        SELECT formed.word, formed.form, walk.at AS root, n, n_near, form_n FROM formed JOIN walk ON formed.word = walk.word AND walk.next IS NULL
+    """,
+    "op13_prefix_trie": f"""
+        WITH {CRC_TABLE},
+        own AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+            FROM conversations),
+        ids AS (SELECT conv_id, coalesce(conv_id::VARCHAR, '') AS c, count(*) AS n FROM own GROUP BY conv_id),
+        hashed AS (SELECT conv_id, n, conv_id - conv_id % 20 AS base, CASE WHEN conv_id IS NULL THEN 0 ELSE {_crc32("c")} % 4 END AS h FROM ids, crc),
+        convs AS (SELECT x.conv_id, x.h, x.base, least(x.h, coalesce(y.n, 0)) AS given FROM hashed x LEFT JOIN hashed y ON x.base = y.conv_id),
+        turns AS (
+            SELECT c.conv_id, pos - h + given AS pos, role, text FROM own JOIN convs c ON own.conv_id IS NOT DISTINCT FROM c.conv_id WHERE pos >= h
+            UNION ALL SELECT c.conv_id, pos, role, text FROM own JOIN convs c ON own.conv_id = c.base WHERE pos < given),
+        lists AS (
+            SELECT c.conv_id, list({{'role': role, 'text': text}} ORDER BY pos) FILTER (pos IS NOT NULL) AS turns
+            FROM convs c LEFT JOIN turns t ON c.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY c.conv_id),
+        sequences AS (SELECT conv_id, coalesce(turns, []) AS turns FROM lists),
+        paths AS (
+            SELECT conv_id, turns[1:d] AS node, d, d = len(turns) AS last FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM sequences)),
+        nodes AS (
+            SELECT node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last) AS ends
+            FROM paths GROUP BY node, d),
+        linked AS (SELECT *, node[1:depth - 1] AS parent FROM nodes),
+        children AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL),
+        own_values AS (
+            SELECT l.*, coalesce(n_children, 0) AS n_children,
+                CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len({WORDS.replace("coalesce(text, '')", "node[depth].text")}) END AS saved
+            FROM linked l LEFT JOIN children USING (node, depth)),
+        totals AS (
+            SELECT node[1:a] AS node, a AS depth, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+            FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM own_values) GROUP BY ALL)
+        SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children::BIGINT AS n_children, n_leaves, saved_tokens,
+            sha256(coalesce(v.ends, '')) AS ends_sha256
+        FROM own_values v JOIN totals USING (node, depth) LEFT JOIN nodes p ON p.node = v.parent AND p.depth = v.depth - 1
+    """,
 }
