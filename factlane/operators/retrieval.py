@@ -1,202 +1,190 @@
-"""Top-k documents per query under cosine similarity.
-
-Every query has to be scored against every document: character terms are so
-common that each pair shares some.  Joining postings would write out all those
-pairs.  Instead each task scores its documents in blocks against the queries and
-passes on only the k best per query (or three running totals), and Spark merges
-those.  Queries go to all tasks while their measured bytes fit; beyond that both
-sides are cut into tiles of bounded bytes, and a side is copied once per tile of the
-other.
-
-Search can also be kept to groups: a query is then scored against the documents of
-its groups only, and the k best of each group are given.
+"""Top-k documents per query by cosine, or by cosine and boosts, over the block-max index.
+
+A task holds ranges of documents (see ``ranges``).  For a block of queries it first works out every range's bound,
+scores each query's most promising range, and then only those whose bound reaches the query's k-th
+score.  The k best of those first ranges, over all tasks, are found in a job of their own: from then on
+every task starts with the k-th scores that the whole index gives.
+
+Queries go to all tasks while their measured bytes fit; beyond that both sides are cut into tiles of bounded
+bytes, and a side is copied once per tile of the other.  Exact either way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlane.scale import durable
+from factlane.operators.ranges import QueryBlock, Range, build_ranges
+from factlane.scale import durable, shared
 
 QUERY_BYTES = 64 * 1024 * 1024
 TILE_BYTES = 32 * 1024 * 1024
 STEP_QUERIES = 1024
-STEP_DOCUMENTS = 2048
-CELLS = 2_000_000
 DIGITS = 9
+#: Sums in another order differ by less; a bound that is lower by less is no reason to leave a range out.
+SLACK = 1e-7
 
-HIT_COLUMNS = "qid long, doc_id long, cosine double"
-TOTAL_COLUMNS = "qid long, n_docs long, sum_score double, max_score double"
+HITS = "qid long, doc_id long, score double, cosine double, boost double"
+TOTALS = "qid long, n_docs long, sum_score double, max_score double"
+WORK = "qid long, n_ranges long, n_scored long"
 
 
 @dataclass(frozen=True)
 class Scoring:
-    """How many documents are kept, and from which score on."""
+    """How many documents are kept, from which score on, and what cosine and boost count where a document is favoured."""
 
     top_k: int = 3
     min_score: float = 0.1
+    cosine_share: float = 1.0
+    boost_share: float = 0.0
 
 
-class QueryBlock:
-    """Queries as a dense matrix over just the terms they use."""
-
-    def __init__(self, rows: pd.DataFrame, scoring: Scoring):
-        self.qid = rows["qid"].to_numpy()
-        self.scoring = scoring
-        lengths = rows["terms"].map(len).to_numpy()
-        flat = np.concatenate([np.asarray(t, dtype=np.int64) for t in rows["terms"]] or [np.empty(0, np.int64)])
-        self.terms, column = np.unique(flat, return_inverse=True)
-        self.matrix = np.zeros((len(rows), len(self.terms)))
-        self.matrix[np.repeat(np.arange(len(rows)), lengths), column] = np.concatenate(
-            [np.asarray(w, dtype=float) for w in rows["weights"]] or [np.empty(0)]
-        )
-
-    def cosine(self, docs: pd.DataFrame) -> np.ndarray:
-        """queries x documents; document vectors already have length one."""
-        dense = np.zeros((len(docs), len(self.terms)))
-        lengths = docs["terms"].map(len).to_numpy()
-        if lengths.sum() and len(self.terms):
-            row = np.repeat(np.arange(len(docs)), lengths)
-            term = np.concatenate([np.asarray(t, dtype=np.int64) for t in docs["terms"]])
-            weight = np.concatenate([np.asarray(w, dtype=float) for w in docs["weights"]])
-            at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
-            known = self.terms[at] == term
-            dense[row[known], at[known]] = weight[known]
-        return self.matrix @ dense.T
-
-    def blocks(self, docs: pd.DataFrame):
-        step = max(1, min(STEP_DOCUMENTS, CELLS // max(1, len(self.qid))))
-        for start in range(0, len(docs), step):
-            yield docs.iloc[start:start + step]
-
-    def best(self, batches) -> pd.DataFrame:
-        """The k best documents per query over all batches; equal scores go by doc_id."""
-        k = self.scoring.top_k
-        floor = np.full(len(self.qid), self.scoring.min_score)
-        kept = None
-        for batch in batches:
-            for docs in self.blocks(batch):
-                cosine = self.cosine(docs)
-                score = np.round(cosine, DIGITS)
-                if len(docs) >= k:
-                    kth = np.partition(score, len(docs) - k, axis=1)[:, len(docs) - k]
-                    floor = np.maximum(floor, kth)
-                q, d = np.nonzero(score >= floor[:, None])
-                found = pd.DataFrame(
-                    {"q": q, "doc_id": docs["doc_id"].to_numpy()[d], "score": score[q, d], "cosine": cosine[q, d]}
-                )
-                kept = found if kept is None else pd.concat([kept, found])
-                kept = kept.sort_values(["q", "score", "doc_id"], ascending=[True, False, True])
-                place = kept.groupby("q").cumcount()
-                kept = kept[place < k]
-                last = kept[place[place < k] == k - 1]
-                floor[last["q"].to_numpy()] = np.maximum(floor[last["q"].to_numpy()], last["score"].to_numpy())
-        if kept is None:
-            kept = pd.DataFrame({"q": np.empty(0, int), "doc_id": np.empty(0, np.int64), "cosine": np.empty(0)})
-        return kept.assign(qid=self.qid[kept["q"].to_numpy()])[["qid", "doc_id", "cosine"]]
-
-    def totals(self, batches) -> pd.DataFrame:
-        """Number, sum and maximum of the scores at or above the threshold, per query."""
-        n = np.zeros(len(self.qid), dtype=np.int64)
-        total = np.zeros(len(self.qid))
-        top = np.full(len(self.qid), -np.inf)
-        for batch in batches:
-            for docs in self.blocks(batch):
-                score = np.round(self.cosine(docs), DIGITS)
-                counted = score >= self.scoring.min_score
-                n += counted.sum(axis=1)
-                total += np.where(counted, score, 0.0).sum(axis=1)
-                top = np.maximum(top, score.max(axis=1))
-        return pd.DataFrame({"qid": self.qid, "n_docs": n, "sum_score": total, "max_score": top})
-
-
-def _vector_bytes() -> Column:
-    return 32 + 12 * F.size("terms")
-
-
-def _in_tiles(queries: DataFrame, documents: DataFrame, scoring: Scoring, method: str, schema: str) -> DataFrame:
-    """Scores the queries of each group against its documents; both have ``gid``."""
-    sides = []
-    for df, key in ((queries, "qid"), (documents, "doc_id")):
-        size = df.groupBy("gid").agg(F.ceil(F.sum(_vector_bytes()) / TILE_BYTES).alias("tiles"))
-        sides.append((df, key, size))
-    (asked, _, query_tiles), (searched, _, document_tiles) = sides
-    tiles = durable(
-        query_tiles.withColumnRenamed("tiles", "_nq").join(document_tiles.withColumnRenamed("tiles", "_nd"), "gid")
-    )
-    # groups of one tile share a task's call with others
-    together = queries.sparkSession.sparkContext.defaultParallelism
-    place = F.when(F.col("_nq") * F.col("_nd") == 1, F.pmod("gid", F.lit(together))).otherwise(F.col("gid"))
-    numbered = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    asked = asked.join(tiles, "gid").withColumn("_t", place).withColumn("_q", F.pmod(F.xxhash64("qid"), F.col("_nq"))).withColumn("_d", numbered("_nd"))
-    searched = searched.join(tiles, "gid").withColumn("_t", place).withColumn("_d", F.pmod(F.xxhash64("doc_id"), F.col("_nd"))).withColumn(
-        "_q", numbered("_nq")
-    )
-    tile, wanted = ["_t", "_q", "_d"], ["gid", "_t", "_q", "_d", "terms", "weights"]
-
-    def score_tile(query_rows: pd.DataFrame, document_rows: pd.DataFrame) -> pd.DataFrame:
-        by_group = dict(list(document_rows.groupby("gid")))
-        blocks = [
-            getattr(QueryBlock(of_group.iloc[at:at + STEP_QUERIES], scoring), method)([by_group[gid]])
-            for gid, of_group in query_rows.groupby("gid") if gid in by_group
-            for at in range(0, len(of_group), STEP_QUERIES)
-        ]
-        return pd.concat(blocks) if blocks else getattr(QueryBlock(query_rows.iloc[:0], scoring), method)([])
+class Search:
+    """The k best documents of a block of queries so far; equal scores go by doc_id."""
 
-    return (
-        asked.select("qid", *wanted).groupBy(*tile)
-        .cogroup(searched.select("doc_id", *wanted).groupBy(*tile))
-        .applyInPandas(score_tile, schema)
-    )
+    def __init__(self, block: QueryBlock, scoring: Scoring, floors: dict[int, float] | None):
+        self.block, self.scoring = block, scoring
+        known = floors or {}
+        self.floor = np.array([known.get(q, scoring.min_score) for q in block.qid.tolist()], float)
+        self.scored = np.zeros(len(block.qid), np.int64)
+        self.kept = {"q": np.empty(0, np.int64), "doc_id": np.empty(0, np.int64)} | {c: np.empty(0) for c in ("score", "cosine", "boost")}
 
-
-def _run(queries: DataFrame, documents: DataFrame, scoring: Scoring, method: str, schema: str, broadcast) -> DataFrame:
-    written = durable(queries.select("qid", "terms", "weights"))
-    searched = documents.select("doc_id", "terms", "weights")
+    def add(self, of: Range, rows: np.ndarray) -> None:
+        """Score a range for some of the queries."""
+        if not len(rows):
+            return
+        k = self.scoring.top_k
+        self.scored[rows] += 1
+        cosine, boost = of.cosine(self.block, rows), of.boost(self.block, rows)
+        score = np.round(self.block.cosine_share[rows, None] * cosine + self.block.boost_share[rows, None] * boost, DIGITS)
+        floor = self.floor[rows]
+        if score.shape[1] >= k:
+            floor = np.maximum(floor, np.partition(score, -k, axis=1)[:, -k])
+        q, d = np.nonzero(score >= floor[:, None])
+        found = {"q": rows[q], "doc_id": of.doc_ids[d], "score": score[q, d], "cosine": cosine[q, d], "boost": boost[q, d]}
+        both = {c: np.concatenate([self.kept[c], found[c]]) for c in self.kept}
+        order = np.lexsort((both["doc_id"], -both["score"], both["q"]))
+        q = both["q"][order]
+        first = np.searchsorted(q, q)
+        place = np.arange(len(q)) - first
+        self.kept = {c: v[order][place < k] for c, v in both.items()}
+        last = order[place == k - 1]
+        self.floor[both["q"][last]] = np.maximum(self.floor[both["q"][last]], both["score"][last])
+
+    def run(self, ranges: list[Range], first_only: bool) -> None:
+        bounds = np.column_stack([r.bounds(self.block) for r in ranges])
+        promising = bounds.argmax(axis=1)
+        reaches = lambda i: bounds[:, i] + SLACK >= self.floor
+        for i, r in enumerate(ranges):
+            self.add(r, np.flatnonzero((promising == i) & reaches(i)))
+        if not first_only:
+            for i in np.argsort(-bounds.max(axis=0)):
+                self.add(ranges[i], np.flatnonzero((promising != i) & reaches(i)))
+
+
+def _best(block: QueryBlock, ranges: list[Range], scoring: Scoring, floors=None, first_only: bool = False) -> pd.DataFrame:
+    search = Search(block, scoring, floors)
+    search.run(ranges, first_only)
+    return pd.DataFrame({"qid": block.qid[search.kept["q"]], **{c: search.kept[c] for c in ("doc_id", "score", "cosine", "boost")}})
+
+
+def _work(block: QueryBlock, ranges: list[Range], scoring: Scoring, floors=None, first_only: bool = False) -> pd.DataFrame:
+    """How many ranges there are for each query, and how many were scored."""
+    search = Search(block, scoring, floors)
+    search.run(ranges, first_only)
+    return pd.DataFrame({"qid": block.qid, "n_ranges": len(ranges), "n_scored": search.scored})
+
+
+def _totals(block: QueryBlock, ranges: list[Range], scoring: Scoring, floors=None, first_only: bool = False) -> pd.DataFrame:
+    """Number, sum and maximum of the cosines at or above the threshold, per query; of all documents, so no range is left out."""
+    n, total, top = np.zeros(len(block.qid), np.int64), np.zeros(len(block.qid)), np.full(len(block.qid), -np.inf)
+    everyone = np.arange(len(block.qid))
+    for r in ranges:
+        score = np.round(r.cosine(block, everyone), DIGITS)
+        counted = score >= scoring.min_score
+        n += counted.sum(axis=1)
+        total += np.where(counted, score, 0.0).sum(axis=1)
+        top = np.maximum(top, score.max(axis=1))
+    return pd.DataFrame({"qid": block.qid, "n_docs": n, "sum_score": total, "max_score": top})
+
+
+def _blocks(rows: pd.DataFrame, scoring: Scoring) -> Iterator[QueryBlock]:
+    """One after the other: a block is dense, its queries are not."""
+    for at in range(0, len(rows), STEP_QUERIES):
+        yield QueryBlock(rows.iloc[at:at + STEP_QUERIES], scoring.cosine_share, scoring.boost_share)
+
+
+def _ranges_of(rows: pd.DataFrame) -> list[Range]:
+    return [Range(row) for row in rows.itertuples()]
+
+
+def _query_bytes() -> Column:
+    return 64 + 12 * F.size("terms")
+
+
+def _range_bytes() -> Column:
+    return 64 + 12 * F.size("weights") + 16 * F.size("terms") + 8 * F.size("doc_ids")
+
+
+def _in_tiles(queries: DataFrame, ranges: DataFrame, scoring: Scoring, function, schema: str) -> DataFrame:
+    """Scores tiles of queries against tiles of ranges; both of about TILE_BYTES."""
+    count = lambda df, size: df.agg(F.coalesce(F.ceil(F.sum(size) / TILE_BYTES), F.lit(1))).first()[0]
+    n_queries, n_ranges = count(queries, _query_bytes()), count(ranges, _range_bytes())
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1).cast("int")))
+    asked = queries.withColumn("_q", F.pmod(F.xxhash64("qid"), F.lit(n_queries)).cast("int")).withColumn("_d", numbers(n_ranges))
+    searched = ranges.withColumn("_d", F.pmod(F.xxhash64("range"), F.lit(n_ranges)).cast("int")).withColumn("_q", numbers(n_queries))
+
+    def score_tile(query_rows: pd.DataFrame, range_rows: pd.DataFrame) -> pd.DataFrame:
+        there = _ranges_of(range_rows)
+        made = [function(block, there, scoring) for block in _blocks(query_rows, scoring) if there]
+        return pd.concat(made) if made else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+
+    return asked.groupBy("_q", "_d").cogroup(searched.groupBy("_q", "_d")).applyInPandas(score_tile, schema)
+
+
+def _run(queries: DataFrame, documents: DataFrame, scoring: Scoring, function, schema: str, broadcast: bool | None, floors: bool) -> DataFrame:
+    ranges = documents if "doc_ids" in documents.columns else build_ranges(documents.select("doc_id", "terms", "weights"))
+    written = durable(queries.select("qid", "terms", "weights", *[c for c in queries.columns if c == "asked"]))
     size = written.agg(
-        F.count("*").alias("rows"), F.countDistinct("qid").alias("ids"), F.coalesce(F.sum(_vector_bytes()), F.lit(0)).alias("bytes")
+        F.count("*").alias("rows"), F.countDistinct("qid").alias("ids"), F.coalesce(F.sum(_query_bytes()), F.lit(0)).alias("bytes")
     ).first()
     if size["rows"] != size["ids"]:
         raise ValueError("qid must be unique")
     if broadcast is None:
         broadcast = size["bytes"] <= QUERY_BYTES
     if not broadcast:
-        # one group; not written as a constant, since a join on one is no longer by key
-        one = [F.pmod(F.xxhash64(key), F.lit(1)).alias("gid") for key in ("qid", "doc_id")]
-        return _in_tiles(written.select("*", one[0]), searched.select("*", one[1]), scoring, method, schema)
+        return _in_tiles(written, ranges, scoring, function, schema)
+    spark = documents.sparkSession
     # the sparse vectors, measured above; each task makes dense blocks of them
-    shared = documents.sparkSession.sparkContext.broadcast(written.toPandas())
+    sent = shared(spark, written.toPandas())
 
-    def score_partition(batches):
-        rows = shared.value
-        blocks = [QueryBlock(rows.iloc[at:at + STEP_QUERIES], scoring) for at in range(0, len(rows), STEP_QUERIES)]
-        if len(blocks) == 1:
-            yield getattr(blocks[0], method)(batches)
-            return
-        for batch in batches:
-            for block in blocks:
-                yield getattr(block, method)([batch])
+    def scored(kind, columns: str, known=None, first_only: bool = False) -> DataFrame:
+        def score_partition(batches):
+            for batch in batches:
+                there = _ranges_of(batch)
+                for block in _blocks(sent.value, scoring) if there else ():
+                    yield kind(block, there, scoring, known and known.value, first_only)
 
-    return searched.mapInPandas(score_partition, schema)
+        return ranges.mapInPandas(score_partition, columns)
 
+    if not floors:
+        return scored(function, schema)
+    # a number per query, of queries whose bytes were measured
+    kth = ranked(scored(_best, HITS, first_only=True), scoring).where(F.col("rank") == scoring.top_k).select("qid", "score").toPandas()
+    return scored(function, schema, shared(spark, dict(zip(kth["qid"].tolist(), kth["score"].tolist()))))
 
-def best_by_cosine(
-    queries: DataFrame, documents: DataFrame, scoring: Scoring, broadcast: bool | None = None, groups: bool = False
-) -> DataFrame:
-    """(qid, doc_id, cosine): at least the k best documents per query.
 
-    With ``groups`` both sides have a column ``gid`` and may hold several rows of a
-    query or document; each group's k best are among the result.
+def search(queries: DataFrame, documents: DataFrame, scoring: Scoring, broadcast: bool | None = None) -> DataFrame:
+    """(qid, doc_id, score, cosine, boost): the k best documents per query are among the rows.
+
+    ``documents``: ranges, or vectors to make them of.  ``queries`` may have ``asked``, the values that favour documents.
     """
-    if groups:
-        return _in_tiles(queries, documents, scoring, "best", HIT_COLUMNS)
-    return _run(queries, documents, scoring, "best", HIT_COLUMNS, broadcast)
+    return _run(queries, documents, scoring, _best, HITS, broadcast, floors=True)
 
 
 def ranked(scored: DataFrame, scoring: Scoring) -> DataFrame:
@@ -211,15 +199,20 @@ def ranked(scored: DataFrame, scoring: Scoring) -> DataFrame:
 
 def top_documents(queries: DataFrame, documents: DataFrame, scoring: Scoring, broadcast: bool | None = None) -> DataFrame:
     """(qid, rank, doc_id, score) by cosine alone."""
-    partial = best_by_cosine(queries, documents, scoring, broadcast)
-    return ranked(partial.select("qid", "doc_id", F.round("cosine", DIGITS).alias("score")), scoring).select(
+    return ranked(search(queries.select("qid", "terms", "weights"), documents, scoring, broadcast), scoring).select(
         "qid", "rank", "doc_id", "score"
     )
 
 
+def ranges_scored(queries: DataFrame, documents: DataFrame, scoring: Scoring) -> DataFrame:
+    """(qid, n_ranges, n_scored): how much of the index a search looks into, the first look aside."""
+    work = _run(queries, documents, scoring, _work, WORK, True, floors=True)
+    return work.groupBy("qid").agg(F.sum("n_ranges").alias("n_ranges"), F.sum("n_scored").alias("n_scored"))
+
+
 def score_totals(queries: DataFrame, documents: DataFrame, scoring: Scoring, broadcast: bool | None = None) -> DataFrame:
     """(qid, n_docs, sum_score, max_score) over the documents at or above the threshold."""
-    partial = _run(queries, documents, scoring, "totals", TOTAL_COLUMNS, broadcast)
+    partial = _run(queries, documents, scoring, _totals, TOTALS, broadcast, floors=False)
     return partial.groupBy("qid").agg(
         F.sum("n_docs").alias("n_docs"), F.sum("sum_score").alias("sum_score"), F.max("max_score").alias("max_score")
     )

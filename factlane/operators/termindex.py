@@ -1,7 +1,7 @@
 """TF-IDF as tables: term counts, vocabulary, weights, row vectors.
 
-A text is one row, so its term counts, weights and length are computed inside
-that row by array functions.  The corpus is never shuffled: only the term
+A text is one row: its terms are counted in Arrow batches, its weights and length are
+computed inside the row by array functions.  The corpus is never shuffled: only the term
 statistics are, after each task has summed its own, and the vocabulary that
 comes out of them is limited and reaches the rows as a constant.
 """
@@ -9,71 +9,77 @@ comes out of them is limited and reaches the rows as a constant.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlane.functions.terms import adjacent, characters, gap_words, word_tokens
+from factlane.functions.terms import gap_words, word_tokens
+from factlane.operators.ranges import build_ranges
 from factlane.scale import durable, spread_small
 
 BUCKETS = 8192
 COUNTS = "_counts"
 COUNT_TYPE = "array<struct<term: string, tf: bigint>>"
+#: The number of a single space.
+SPACE = ord(" ") << 22
 
 
-def with_counts(
-    texts: DataFrame, terms: Callable[[DataFrame], Column], correct: Callable[[Column, Column], Column] | None = None
-) -> DataFrame:
-    """Adds the array of (term, tf) of each row, in term order.
+def _counts_column(ends: list[int], terms: pa.Array, counts: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([terms, counts], ["term", "tf"]))
 
-    Equal terms are neighbours once sorted, so a term's count is the distance
-    from where it starts to where the next one does.  The steps are separate
-    projections, so that none is evaluated again inside the next one.
-    """
-    ordered = texts.withColumn("_sorted", F.sort_array(terms(texts)))
-    term_at = lambda i: F.get(F.col("_sorted"), i)
-    places = F.when(F.size("_sorted") > 0, F.sequence(F.lit(0), F.size("_sorted") - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    started = ordered.withColumn(
-        "_starts", F.filter(places, lambda i: (i == 0) | (term_at(i) != term_at(i - 1)))
-    )
 
-    def entry(start: Column, place: Column) -> Column:
-        following = F.coalesce(F.get(F.col("_starts"), place + 1), F.size("_sorted"))
-        n = (following - start).cast("long")
-        term = term_at(start)
-        return F.struct(term.alias("term"), (correct(term, n) if correct else n).alias("tf"))
+def _char_counts(words: pa.Array) -> pa.Array:
+    """Counts of single characters and pairs of texts whose words have one space between them.
 
-    return started.withColumn(COUNTS, F.transform("_starts", entry)).drop("_sorted", "_starts")
+    A term is one number, its characters' codes, so that a text's terms are sorted and counted as numbers.
+    """
+    keys, counts, ends = [], [], [0]
+    for text in words.to_pylist():
+        if text:
+            codes = np.frombuffer(f" {text} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+            key, n = np.unique(np.concatenate([codes << 22, (codes[:-1] << 22) | (codes[1:] + 1)]), return_counts=True)
+            # the words one by one, each between spaces, have two spaces where the text has one
+            n[key == SPACE] = 2 * (n[key == SPACE] - 1)
+            keys.append(key)
+            counts.append(n)
+        ends.append(ends[-1] + (len(key) if text else 0))
+    distinct, at = np.unique(np.concatenate(keys or [np.empty(0, np.int64)]), return_inverse=True)
+    names = [chr(k >> 22) + (chr((k & 0x3FFFFF) - 1) if k & 0x3FFFFF else "") for k in distinct.tolist()]
+    return _counts_column(ends, pa.array(names, pa.string()).take(pa.array(at)), pa.array(np.concatenate(counts or [np.empty(0, np.int64)])))
+
+
+def _word_counts(words: bool, pairs: bool):
+    def counted(tokens: pa.Array) -> pa.Array:
+        terms, counts, ends = [], [], [0]
+        for row in tokens.to_pylist():
+            n = Counter(row or () if words else ())
+            if pairs and row:
+                n.update(map(" ".join, zip(row, row[1:])))
+            for term in sorted(n):
+                terms.append(term)
+                counts.append(n[term])
+            ends.append(len(terms))
+        return _counts_column(ends, pa.array(terms, pa.string()), pa.array(counts, pa.int64()))
+
+    return counted
 
 
 def with_char_counts(texts: DataFrame, text: str) -> DataFrame:
-    """Single characters and character pairs of each space-padded word, with counts.
+    """Adds the array of (term, tf) of each row, in term order: single characters and character pairs of each space-padded word.
 
     Pairs are taken from all words in one go, written with one space between
-    them: no pair reaches over a space.  A space is then counted once per gap,
-    where the words padded one by one have two each.
+    them: no pair reaches over a space.
     """
-    words = texts.withColumn("_words", gap_words(F.col(text)))
-    chars = words.withColumn("_chars", characters(F.concat(F.lit(" "), "_words", F.lit(" "))))
-    counted = with_counts(
-        chars,
-        lambda _: F.when(F.col("_words") != "", F.concat(F.col("_chars"), adjacent(F.col("_chars")))).otherwise(
-            F.array().cast("array<string>")
-        ),
-        lambda term, n: F.when(term == " ", 2 * (n - 1)).otherwise(n),
-    )
-    return counted.drop("_words", "_chars")
+    return texts.withColumn(COUNTS, F.arrow_udf(_char_counts, COUNT_TYPE)(gap_words(F.col(text))))
 
 
 def with_word_counts(texts: DataFrame, text: str, words: bool = True, pairs: bool = True) -> DataFrame:
-    """Words and pairs of neighbouring words, with counts."""
-    tokens = texts.withColumn("_tokens", word_tokens(F.col(text)))
-    wanted = ([F.col("_tokens")] if words else []) + ([adjacent(F.col("_tokens"), " ")] if pairs else [])
-    return with_counts(tokens, lambda _: F.concat(*wanted)).drop("_tokens")
+    """Adds the counts of words and pairs of neighbouring words."""
+    return texts.withColumn(COUNTS, F.arrow_udf(_word_counts(words, pairs), COUNT_TYPE)(word_tokens(F.col(text))))
 
 
 def count_rows(counted: DataFrame, key: str) -> DataFrame:
@@ -188,10 +194,15 @@ class TermIndex:
 
     ``vocabulary``: term, df, cf, idf, idx.  ``documents``: the documents with
     ``terms`` and ``weights``; documents without a known term have empty arrays.
+    ``ranges``: the documents' vectors as a block-max index, if it has been made.
     """
 
     vocabulary: DataFrame
     documents: DataFrame
+    ranges: DataFrame | None = None
+
+    def in_ranges(self) -> DataFrame:
+        return self.ranges if self.ranges is not None else build_ranges(self.documents)
 
     def postings(self, key: str = "doc_id") -> DataFrame:
         return postings(self.documents, self.vocabulary, key)

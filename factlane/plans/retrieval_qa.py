@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factlane import constants as C
@@ -13,18 +13,10 @@ from factlane.config import RetrievalConfig
 from factlane.functions.clean import strip
 from factlane.functions.intents import with_keyword_intent
 from factlane.functions.render import fill, value_or_missing
-from factlane.operators.boosts import (
-    GROUP,
-    asked_groups,
-    boost_of,
-    group_id,
-    group_members,
-    most_boosted,
-    recognised_values,
-    value_documents,
-)
+from factlane.operators.boosts import asked_values, marked, most_boosted, recognised_values, value_documents
 from factlane.operators.lexicon import entity_index, recognise
-from factlane.operators.retrieval import DIGITS, Scoring, best_by_cosine, ranked
+from factlane.operators.ranges import build_ranges
+from factlane.operators.retrieval import Scoring, ranked, search
 from factlane.operators.substrings import SubstringIndex
 from factlane.operators.termindex import TermIndex, build_index, query_vectors
 from factlane.plans.rule_qa import entity_struct
@@ -32,7 +24,6 @@ from factlane.scale import durable, salted_lookup
 
 #: From prompts (qid, system_prompt, prompt) and the settings to (qid, generated, status).
 Generator = Callable[[DataFrame, RetrievalConfig], DataFrame]
-HIT = ["qid", "rank", "doc_id", "score", "tfidf_score", "entity_boost"]
 
 
 def row_documents(kb: DataFrame) -> DataFrame:
@@ -51,10 +42,10 @@ def row_documents(kb: DataFrame) -> DataFrame:
 
 
 def document_index(kb: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> TermIndex:
-    """The index of a knowledge base; its documents are written with their vectors,
-    since two searches and the prompts all read them."""
+    """The index of a knowledge base; its documents are written with their vectors, and in ranges by city."""
     index = build_index(row_documents(kb), "content", config.max_features)
-    return TermIndex(index.vocabulary, durable(index.documents))
+    documents = durable(index.documents)
+    return TermIndex(index.vocabulary, documents, build_ranges(documents, beside=("city",)))
 
 
 def retrieve(
@@ -69,42 +60,23 @@ def retrieve(
     With an entity index a question is also matched by its recognised cities,
     provinces and names; without one by cosine alone.
 
-    A document that no entity favours can only be a hit if it is among the k best by
-    cosine.  A favoured one can only be a hit if it is among the k best by cosine of
-    those that have all its matching entities, as these are favoured at least as
-    much.  So both searches go by cosine alone, the second inside the documents of
-    each combination of entities, and boosts are worked out for their few results.
+    The score of a question that favours documents is a share of the cosine and a larger share of the
+    boost.  One search goes by both: ranges of documents are bounded by their largest weights and
+    boosts, so those of low boost are left out once k documents of a higher one are found.
     """
-    scoring = Scoring(config.top_k, config.min_score)
-    queries = durable(query_vectors(questions, "text", index.vocabulary))
-    everywhere = best_by_cosine(queries, index.documents, scoring, broadcast)
-    if entities is None:
-        plain = everywhere.select(
-            "qid", "doc_id", F.round("cosine", DIGITS).alias("score"), F.col("cosine").alias("tfidf_score"),
-            F.lit(0.0).alias("entity_boost"),
-        )
-        return ranked(plain, scoring).select(*HIT)
-    known = durable(recognise(questions.select("qid", "text"), entities).select("qid", "names", "cities", "provinces"))
-    documents = index.documents.select("doc_id", "name", "city", "content")
-    favoured = durable(value_documents(durable(recognised_values(known)), documents, broadcast))
-    asked = asked_groups(known).withColumn("gid", group_id())
-    members = durable(group_members(asked.select("gid", *GROUP).distinct(), favoured))
-    inside = best_by_cosine(
-        asked.select("qid", "gid").join(queries, "qid"),
-        members.select("doc_id", "gid").join(index.documents.select("doc_id", "terms", "weights"), "doc_id"),
-        Scoring(config.top_k, -1.0),
-        groups=True,
+    scoring = Scoring(config.top_k, config.min_score, C.FUSE_COSINE, C.FUSE_BOOST)
+    queries, ranges = query_vectors(questions, "text", index.vocabulary), index.in_ranges()
+    if entities is not None:
+        known = durable(recognise(questions.select("qid", "text"), entities).select("qid", "names", "cities", "provinces"))
+        documents = index.documents.select("doc_id", "name", "city", "content")
+        favoured = durable(value_documents(durable(recognised_values(known)), documents, broadcast))
+        asked = F.coalesce("asked", F.array().cast("array<string>")).alias("asked")
+        queries = queries.join(asked_values(known, favoured), "qid", "left").select("qid", "terms", "weights", asked)
+        ranges = marked(ranges, favoured)
+    found = search(queries, ranges, scoring, broadcast)
+    return ranked(found, scoring).select(
+        "qid", "rank", "doc_id", "score", F.col("cosine").alias("tfidf_score"), F.col("boost").alias("entity_boost")
     )
-    # k documents at most for each group of a question
-    candidates = durable(everywhere.unionByName(inside).groupBy("qid", "doc_id").agg(F.first("cosine").alias("cosine")))
-    needed = documents.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
-    placed = salted_lookup(candidates, needed, "doc_id", F.col("qid")).join(known, "qid")
-    boosted = placed.select("qid", "doc_id", F.col("cosine").alias("tfidf_score"), boost_of().alias("entity_boost"))
-    most = F.max("entity_boost").over(Window.partitionBy("qid"))
-    fused = F.when(
-        most > 0, F.lit(C.FUSE_COSINE) * F.col("tfidf_score") + F.lit(C.FUSE_BOOST) * F.col("entity_boost")
-    ).otherwise(F.col("tfidf_score"))
-    return ranked(boosted.withColumn("score", F.round(fused, DIGITS)), scoring).select(*HIT)
 
 
 def with_documents(hits: DataFrame, documents: DataFrame) -> DataFrame:

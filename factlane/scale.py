@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,8 +41,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{SCRATCH}/{name}-{uuid.uuid4().hex}"
 
 
+_sent: list[Broadcast] = []
+
+
+def shared(spark: SparkSession, value) -> Broadcast:
+    """``value``, whose size the caller has checked, sent to all tasks until ``clear_scratch``."""
+    _sent.append(spark.sparkContext.broadcast(value))
+    return _sent[-1]
+
+
 def clear_scratch(spark: SparkSession) -> None:
-    """Deletes all scratch tables; for when the results that read them are written."""
+    """Deletes all scratch tables and what was sent around; for when the results that read them are written."""
+    while _sent:
+        _sent.pop().unpersist()
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{SCRATCH}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

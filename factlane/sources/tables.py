@@ -38,13 +38,14 @@ def read_kb_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_index(index: TermIndex, path: str, partitions: int | None = None) -> None:
-    """The vocabulary, document vectors, and postings sorted by term.
+    """The vocabulary, document vectors, their ranges, and postings sorted by term.
 
     Common terms are in almost every document; postings are therefore placed by
     range of (term, document), which cuts a common term into several files.
     """
     index.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
     index.documents.write.mode("overwrite").parquet(f"{path}/documents")
+    index.in_ranges().write.mode("overwrite").parquet(f"{path}/ranges")
     stored = read_index(index.vocabulary.sparkSession, path)
     order = ["term", "doc_id"]
     postings = stored.postings()
@@ -53,7 +54,7 @@ def write_index(index: TermIndex, path: str, partitions: int | None = None) -> N
 
 
 def read_index(spark: SparkSession, path: str) -> TermIndex:
-    return TermIndex(spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/documents"))
+    return TermIndex(*[spark.read.parquet(f"{path}/{table}") for table in ("vocabulary", "documents", "ranges")])
 
 
 def read_postings(spark: SparkSession, path: str, term: str | None = None) -> DataFrame:

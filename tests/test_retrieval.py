@@ -124,11 +124,11 @@ def test_hybrid_equals_brute_force(spark, kb, questions, broadcast):
 
 
 def test_both_ways_agree_on_random_texts_with_ties(spark, monkeypatch):
-    from factlane.operators import retrieval
+    from factlane.operators import ranges, retrieval
 
     monkeypatch.setattr(retrieval, "TILE_BYTES", 2000)
     monkeypatch.setattr(retrieval, "STEP_QUERIES", 7)
-    monkeypatch.setattr(retrieval, "CELLS", 90)
+    monkeypatch.setattr(ranges, "RANGE_DOCUMENTS", 9)
     rng = random.Random(3)
     texts = {i: " ".join("".join(rng.choices("abcde", k=3)) for _ in range(rng.randint(0, 6))) for i in range(80)}
     texts.update({80 + i: texts[1] + " x" for i in range(40)})  # a third are copies
@@ -293,3 +293,32 @@ def test_config():
     for bad in ({"top_k": 0}, {"min_score": 2}, {"max_features": 0}):
         with pytest.raises(ValueError):
             RetrievalConfig(**bad)
+
+
+def test_ranges_below_the_kth_score_are_left_out(spark, monkeypatch):
+    from factlane.operators import ranges
+    from factlane.operators.retrieval import ranges_scored, search
+
+    monkeypatch.setattr(ranges, "RANGE_DOCUMENTS", 8)
+    rng = random.Random(5)
+    # documents of ten kinds, each with terms of its own and some that all share
+    rows = [(i, *zip(*sorted({(10 * (i % 10) + rng.randrange(10), 1.0) for _ in range(4)} | {(100 + rng.randrange(5), 0.3)}))) for i in range(800)]
+    rows = [(i, list(t), [w / math.sqrt(sum(x * x for x in weights)) for w in weights]) for i, t, weights in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, terms array<int>, weights array<double>")
+    queries = docs.where("doc_id % 40 = 0").withColumnRenamed("doc_id", "qid")
+    index = ranges.build_ranges(docs)
+    assert sorted(d for r in index.select("doc_ids").collect() for d in r.doc_ids) == list(range(800))
+    work = ranges_scored(queries, index, Scoring(3, 0.1)).collect()
+    assert len(work) == 20 and all(r.n_ranges == index.count() for r in work)
+    assert sum(r.n_scored for r in work) < 0.4 * sum(r.n_ranges for r in work)
+    vectors = {i: dict(zip(t, w)) for i, t, w in rows}
+    for hit in top_documents(queries, index, Scoring(1, 0.1)).collect():
+        assert hit.doc_id == min(d for d in vectors if round(dot(vectors[hit.qid], vectors[d]), 9) == hit.score) and hit.score == pytest.approx(1)
+    # whatever the cosine, documents of a lower boost are not looked at
+    favoured = spark.createDataFrame([("nx", d, 0.8) for d in range(0, 800, 10)] + [("cy", d, 0.5) for d in range(800)], "value string, doc_id long, weight double")
+    asked = queries.withColumn("asked", F.array(F.lit("nx"), F.lit("cy")))
+    marked = ranges.with_marks(index, favoured)
+    scoring = Scoring(3, 0.1, 0.3, 0.7)
+    assert {r.boost for r in search(asked, marked, scoring).collect()} == {1.3}
+    work = ranges_scored(asked, marked, scoring).collect()
+    assert sum(r.n_scored for r in work) < 0.2 * sum(r.n_ranges for r in work)
