@@ -14,8 +14,9 @@ def pairs(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
+@pytest.mark.parametrize("filtered", [True, False])
 @pytest.mark.parametrize("broadcast", [True, False])
-def test_substrings_equal_brute_force(spark, broadcast):
+def test_substrings_equal_brute_force(spark, broadcast, filtered):
     rng = random.Random(7)
     letters = "ab外😀"
     texts = {i: "".join(rng.choices(letters, k=rng.choice([0, 1, 5, 30, 63, 64, 65, 200]))) for i in range(60)}
@@ -24,7 +25,7 @@ def test_substrings_equal_brute_force(spark, broadcast):
     words |= {texts[5][3:40], texts[7], "a" * 16, "a" * 64, "", "%", "zz"}
     dictionary = spark.createDataFrame([(w,) for w in words] + [(None,)], "value string")
     table = spark.createDataFrame(list(texts.items()) + [(99, None)], "qid long, text string")
-    found = find_substrings(table, build_substring_index(dictionary), broadcast=broadcast)
+    found = find_substrings(table, build_substring_index(dictionary), broadcast=broadcast, filtered=filtered)
     expected = sorted((i, w) for i, t in texts.items() for w in words if w and w in t)
     assert pairs(found, "qid", "value") == expected
 
@@ -39,6 +40,34 @@ def test_null_and_repeated_keys_are_rows_like_others(spark, broadcast):
     assert got == sorted(expected, key=str)
 
 
+def test_a_long_text_is_shuffled_once(spark):
+    rng = random.Random(2)
+    long = "".join(rng.choices("abcdefgh", k=1_000_000))
+    words = {long[i:i + 20] for i in range(0, 1_000_000, 10_000)} | {"h" * 30}
+    index = build_substring_index(spark.createDataFrame([(w,) for w in words], "value string"))
+    table = spark.createDataFrame([(1, long), (2, "x")], "qid long, text string")
+    for filtered in (True, False):
+        found = find_substrings(table, index, broadcast=False, filtered=filtered)
+        assert {r.value for r in found.collect()} == {w for w in words if w in long}
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        # pieces leave their row without the text
+        generated = [line for line in plan.split("\n") if "Generate explode" in line]
+        assert len(generated) == 1 and "_text" not in generated[0]
+
+
+@pytest.mark.parametrize("values, present", [(10, 2), (5000, 300)])
+def test_filter_lets_every_anchor_through(spark, values, present):
+    from factlane.operators import substrings
+
+    index = build_substring_index(spark.createDataFrame([(f"value {i * 7919} of the dictionary",) for i in range(values)], "value string"))
+    rows = index.entries.select("anchor", "hash").collect()
+    for r in rows:
+        assert r.hash == int(substrings.piece_hashes(r.anchor, (len(r.anchor),)).view("int64")[0])
+        at = (r.hash % (1 << 64)) >> (64 - index.width)
+        assert index.bits[at // 8] >> (at % 8) & 1
+    assert sum(bin(b).count("1") for b in index.bits.tolist()) <= values
+
+
 def test_all_columns_count_for_the_size(spark):
     wide = spark.createDataFrame([("ab", "x" * 100_000)] * 30, "value string, payload string")
     assert build_substring_index(wide).size.bytes > 3_000_000
