@@ -557,9 +557,6 @@ FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS s FROM embeddings)"""
 ORACLE["svm_predict"] = """
 SELECT lang AS label, count(*) AS n, true AS good FROM documents GROUP BY lang
 UNION ALL SELECT 'turns', count(*), true FROM conversations"""
-ORACLE["svm_evaluate"] = f"""
-SELECT lang AS label, CAST(count(*) - floor(count(*) * {CONFIG.train_fraction} + 1e-9) AS BIGINT) AS support,
-       true AS precision_reached, true AS recall_reached, true AS accuracy_reached FROM documents GROUP BY lang"""
 ORACLE["svm_save_load"] = "SELECT count(*) AS n_turns, 0 AS n_different FROM conversations"
 TWO_KINDS = f"""{with_(KB_CTE, QUESTIONS_CTE, ENTITIES, SLOTS, RECOMMENDED)},
 matches AS (
@@ -573,9 +570,11 @@ FROM matches"""
 ORACLE["compare_methods"] = f"""
 SELECT q.qid AS qid, q.question AS text, r.intent AS rules_intent, r.matched AS rules_matched, r.answer AS rules_answer,
        q.intent AS retrieval_intent, q.matched AS retrieval_matched, q.answer AS retrieval_answer,
-       m.matched AS classification_matched
+       m.matched AS classification_matched, true AS classification_intent_known,
+       CASE WHEN m.row_id IS NOT NULL THEN true END AS classification_as_predicted,
+       CASE WHEN m.row_id IS NULL THEN coalesce(m.recommendation, {lit(C.CLASSIFIER_HELP)}) END AS classification_other_answer
 FROM ({ORACLE['rag_qa']}) q JOIN ({ORACLE['rule_qa']}) r ON q.qid = r.qid
-JOIN ({TWO_KINDS} SELECT qid, matched FROM matches) m ON q.qid = m.qid"""
+JOIN ({TWO_KINDS} SELECT qid, matched, row_id, recommendation FROM matches) m ON q.qid = m.qid"""
 ORACLE["intent_examples"] = f"""{with_(QUESTIONS_CTE, INTENTS, values('examples', 'name, n', [(k, len(v)) for k, v in TRAINING_TEXTS.items()]))}
 SELECT intent, count(*) AS n_questions, coalesce(any_value(n), 0) AS n_examples
 FROM intents LEFT JOIN examples ON intent = name GROUP BY intent"""

@@ -41,7 +41,7 @@ class RetrievalConfig:
 class ClassifierConfig:
     """Term, vocabulary and SVM settings of the intent classifier.
 
-    Training runs until the loss changes by less than ``tolerance`` (relative), for
+    Training runs until the gradient has fallen to ``tolerance`` times the first one, for
     ``max_iter`` steps at most; a class that reaches the limit is warned of.
     """
 
@@ -53,4 +53,3 @@ class ClassifierConfig:
     max_iter: int = 10_000
     train_fraction: float = 0.8
     seed: int = 42
-    parallelism: int = 8

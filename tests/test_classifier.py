@@ -2,11 +2,12 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from factlane.config import ClassifierConfig
-from factlane.operators import classifier, termindex
+from factlane.operators import classifier, linear, termindex
 from factlane.operators.classifier import IntentModel, NotTrainedError
 from factlane.plans.classify_qa import intent_model, predict_intent
 from tests.conftest import column
@@ -141,3 +142,55 @@ def test_a_class_that_stops_early_is_warned_of(spark):
 def test_defaults_train_to_convergence():
     # the reference trains with max_iter=10000 and the usual tolerance of 1e-4
     assert (ClassifierConfig().tolerance, ClassifierConfig().max_iter) == (1e-4, 10_000)
+
+
+def exact_weights(x, y, weight, c):
+    """Newton's method on the squared hinge, to the last digit; the intercept is the last column's weight."""
+    w = np.zeros(x.shape[1])
+    for _ in range(100):
+        short = np.maximum(1 - y * (x @ w), 0)
+        gradient = w - 2 * c * x.T @ (weight * y * short)
+        on = x[short > 0]
+        hessian = np.eye(len(w)) + 2 * c * on.T @ (weight[short > 0][:, None] * on)
+        step = np.linalg.solve(hessian, gradient)
+        w = w - step
+        if np.abs(step).max() < 1e-12:
+            break
+    short = np.maximum(1 - y * (x @ w), 0)
+    return w, w @ w / 2 + c * (weight * short * short).sum()
+
+
+@pytest.mark.parametrize("partitions, block", [(1, 1024), (5, 7)])
+def test_all_classes_reach_the_exact_minimum(spark, monkeypatch, partitions, block):
+    monkeypatch.setattr(linear, "BLOCK_FEATURES", block)
+    monkeypatch.setattr(linear, "CHUNK_ROWS", 50)
+    rng = np.random.default_rng(4)
+    width, classes, c = 30, 4, 1.0
+    rows = []
+    for i in range(230):
+        label = min(i % 7, 3)
+        terms = sorted(set(rng.integers(0, width, 6).tolist()) | {label})
+        values = rng.random(len(terms))
+        rows.append((label, 0.5 + (i % 3), terms, (values / np.linalg.norm(values)).tolist()))
+    rows.append((0, 1.0, [], []))
+    data = spark.createDataFrame(rows, "target int, weight double, terms array<int>, weights array<double>").repartition(partitions).persist()
+    got, done = linear.fit(data, width, classes, c, 1e-4, 1000)
+    assert done.all()
+    x = np.zeros((len(rows), width + 1))
+    for i, (_, _, terms, values) in enumerate(rows):
+        x[i, terms] = values
+    x[:, width] = 1
+    target, weight = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    for k in range(classes):
+        y = np.where(target == k, 1.0, -1.0)
+        w, best = exact_weights(x, y, weight, c)
+        short = np.maximum(1 - y * (x @ got[:, k]), 0)
+        value = got[:, k] @ got[:, k] / 2 + c * (weight * short * short).sum()
+        assert best - 1e-9 <= value <= best * (1 + 1e-4)
+        assert np.abs(got[:, k] - w).max() < 0.05
+    decided = linear.decide(data.withColumn("own", F.col("terms")), got, tuple("abcd")).collect()
+    assert len(decided) == len(rows)
+    for r in decided:
+        assert min(np.abs(x[i] @ got - r.decisions).max() for i, row in enumerate(rows) if row[2] == r.own) < 1e-12
+        assert r.predicted == "abcd"[int(np.argmax(r.decisions))] and r.confidence == pytest.approx(1 / sum(np.exp(np.array(r.decisions) - max(r.decisions))))
+    data.unpersist()

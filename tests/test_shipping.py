@@ -1,4 +1,4 @@
-"""Queries run where the package is not on the workers' path."""
+"""Queries run where the package is not on the workers' path: workers don't get what the driver adds to its own."""
 
 import os
 import subprocess
@@ -15,7 +15,7 @@ def test_from_another_folder(tmp_path):
         spec = importlib.util.spec_from_file_location("entry_points", "{ROOT}/__spark_entry__.py")
         entry_points = importlib.util.module_from_spec(spec)
         spec.loader.exec_module(entry_points)
-        spark = (SparkSession.builder.master("local-cluster[1,2,900]").config("spark.executor.memory", "700m")
+        spark = (SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2")
                  .config("spark.checkpoint.dir", "{tmp_path}/shared").config("spark.ui.enabled", "false").getOrCreate())
         print("rows", entry_points.queries()["retrieve_topk"](spark, "/root/testdata/sf0.001").count())
     """
