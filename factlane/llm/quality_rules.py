@@ -1,12 +1,18 @@
 """Quality by weak supervision: rules vote, expectation-maximisation weighs them.
 
 Each rule looks at counts of a whole text and votes good (1), bad (0) or abstains
-(null).  Nobody labels anything: the rules' accuracies and the share of good texts
-are those that make the observed votes most likely, found by
+(null).  Nobody labels anything: the share of good texts, and how often each rule votes rightly
+and wrongly on good texts and on poor ones, are those that make the observed votes most likely, found by
 expectation-maximisation over the table of vote patterns, which has at most
 3^rules rows whatever the input.  A text is kept if it doesn't fail the base rules
 and its posterior probability of being good is at least ``min_quality``.
 
+Abstaining is evidence as well: a rule that votes on few texts at all is right if it votes where other rules find
+fault too.  Accuracies alone can't tell which class is the poor one, and a rare fault can always be
+explained as a rule that is wrong.  So rates start from, and are held by START_WEIGHT texts' worth of, what the
+rules mean; a right vote stays likelier than a wrong one; and no rule is wrong, or silent, on less than
+MIN_WRONG of a class, so one vote never settles a text by itself.
+
 All is DataFrame and SQL functions.  A repeated window of words is found by
 sorting the window hashes of a text with their positions and comparing the words
 of neighbours in that order, so it takes n log n steps for n words.
@@ -21,13 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import keep
-from .text import SPACES, whole, words
+from .text import SPACES, free_name, whole, words
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
-MIN_QUALITY = 0.5
-MIN_ACCURACY = 0.6
+#: Kept unless poor is twice as likely as good.
+MIN_QUALITY = 1 / 3
 ITERATIONS = 40
+#: Where rates start: a rule's good votes on good and on poor texts, its bad votes on poor ones; and wrong bad votes, the least rate.
+GOOD_RIGHT, GOOD_WRONG, BAD_RIGHT, MIN_WRONG = 0.7, 0.3, 0.3, 0.03
+START_SHARE, START_WEIGHT = 0.8, 20
 #: Fixed: characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 
@@ -37,8 +46,7 @@ RULES = {
     "prose": ("n_symbols = 0 AND 20 * n_letters >= 19 * word_chars AND 5 * n_capitals <= word_chars", "false"),
     "varied": ("20 * n_repeat_words <= n_words AND 10 * n_dup_lines <= n_lines AND 10 * n_symbols <= n_words", "false"),
     "word_length": ("false", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
-    "symbols": ("false", "10 * n_symbols > n_words"),
-    "symbol_share": ("false", "25 * n_symbols > word_chars"),
+    "symbols": ("false", "10 * n_symbols > n_words OR 25 * n_symbols > word_chars"),
     "letters": ("false", "10 * n_letters < 9 * word_chars"),
     "repeated_lines": ("false", "10 * n_dup_lines > 3 * n_lines"),
     "repeated_words": ("false", "5 * n_repeat_words > n_words"),
@@ -83,24 +91,23 @@ def repeated_words(of: str, window: int = 3) -> Column:
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the counts that base rules and voting rules look at (names in BASE and MORE)."""
     body = whole(f"`{text}`")
-    bare = _without(body, SPACES)
+    w, n, bare = (free_name(docs, x) for x in ("_words", "_lines", "_bare"))
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    out = docs.withColumns({"_words": words(body), "_lines": lines, "_bare": bare})
+    out = docs.withColumns({w: words(body), n: lines, bare: _without(body, SPACES)})
+    count = lambda characters: (F.char_length(bare) - F.char_length(_without(F.col(bare), characters))).cast("long")
     out = out.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.char_length("_bare").cast("long"),
-        "n_symbols": (F.char_length("_bare") - F.char_length(_without(F.col("_bare"), SYMBOLS))).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": repeated_words("_words"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_distinct_words": F.size(F.array_distinct("_words")).cast("long"),
-        "n_capitals": (F.char_length("_bare") - F.char_length(_without(F.col("_bare"), CAPITALS))).cast("long"),
-        "n_shouts": (F.char_length("_bare") - F.char_length(_without(F.col("_bare"), "!?"))).cast("long"),
-        "n_letters": (F.char_length("_bare") - F.char_length(_without(F.col("_bare"), NO_LETTERS))).cast("long"),
+        "n_words": F.size(w).cast("long"),
+        "word_chars": F.char_length(bare).cast("long"),
+        "n_symbols": count(SYMBOLS),
+        "n_dup_lines": (F.size(n) - F.size(F.array_distinct(n))).cast("long"),
+        "n_repeat_words": repeated_words(w),
+        "n_lines": F.size(n).cast("long"),
+        "n_distinct_words": F.size(F.array_distinct(w)).cast("long"),
+        "n_capitals": count(CAPITALS),
+        "n_shouts": count("!?"),
+        "n_letters": count(NO_LETTERS),
     })
-    return out.drop("_words", "_lines", "_bare").withColumn(
-        "n_letters", F.col("word_chars") - F.col("n_letters")
-    )
+    return out.drop(w, n, bare).withColumn("n_letters", F.col("word_chars") - F.col("n_letters"))
 
 
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÈÉÊËÎÏÑÓÔÖÙÚÛÜ"
@@ -118,29 +125,41 @@ def base_failed() -> Column:
     return F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words")
 
 
-def pattern_quality(patterns: DataFrame, n_rules: int, iterations: int = ITERATIONS) -> DataFrame:
+def sides(rules: dict[str, tuple[str, str]] = RULES) -> list[tuple[bool, bool]]:
+    """For each rule, whether it ever votes good and whether it ever votes bad."""
+    return [(good != "false", bad != "false") for good, bad in rules.values()]
+
+
+def pattern_quality(patterns: DataFrame, sides: list[tuple[bool, bool]], iterations: int = ITERATIONS) -> DataFrame:
     """``votes``, ``quality`` for a table of ``votes``, ``n``: the model fitted to them.
 
-    The model: a text is good with probability ``share``; when rule j votes, its
-    vote is right with probability ``accuracy[j]``, whatever the other rules say.
-    Five added votes, four of them right, keep accuracies off 1, and a rule counts
-    as better than a coin: accuracies stay at MIN_ACCURACY or above.
+    The model: a text is good with probability ``share``; rule j then votes good or bad, or not, with rates that
+    depend on the class alone (g: of good texts, b: of poor ones; 1: good votes, 0: bad ones).
     """
     table = patterns.agg(F.array_sort(F.collect_list(F.struct("votes", F.col("n").cast("double").alias("n")))).alias("t"))
-    rules = f"sequence(1, {n_rules})"
-    odds = f"""ln(m.share / (1 - m.share)) + aggregate({rules}, 0D, (x, j) -> x + CASE substr(p.votes, j, 1)
-        WHEN '1' THEN 1D WHEN '0' THEN -1D ELSE 0D END * ln(m.accuracy[j - 1] / (1 - m.accuracy[j - 1])))"""
+    starts = ", ".join(
+        f"struct({GOOD_RIGHT if good else 0}D AS g1, {GOOD_WRONG if good else 0}D AS b1, {BAD_RIGHT if bad else 0}D AS b0, {MIN_WRONG if bad else 0}D AS g0)"
+        for good, bad in sides
+    )
+    silent = lambda one, zero: f"greatest({MIN_WRONG}D, 1D - r.{one} - r.{zero})"
+    odds = f"""ln(m.share / (1 - m.share)) + aggregate(m.rates, struct(0D AS x, 1 AS j), (a, r) -> struct(a.x + CASE substr(p.votes, a.j, 1)
+        WHEN '1' THEN ln(r.g1 / r.b1) WHEN '0' THEN ln(r.g0 / r.b0) ELSE ln({silent("g1", "g0")} / {silent("b1", "b0")}) END AS x, a.j + 1 AS j)).x"""
     posterior = f"transform(t, p -> struct(p.votes AS votes, p.n AS n, 1D / (1D + exp(-({odds}))) AS q))"
 
-    def votes_of_rule(start: int, one: str, zero: str) -> str:
-        return f"""aggregate(posterior, {start}D, (x, p) -> x + CASE substr(p.votes, j, 1)
-            WHEN '1' THEN {one} WHEN '0' THEN {zero} ELSE 0D END)"""
+    def rate(start: str, vote: str, share: str, least: str) -> str:
+        """Of the texts of a class the share that a rule votes so on, START_WEIGHT texts of its start added; 0 if it never does."""
+        counted = f"aggregate(posterior, 0D, (x, p) -> x + CASE WHEN substr(p.votes, j + 1, 1) = '{vote}' THEN p.n * {share} ELSE 0D END)"
+        of = f"aggregate(posterior, 0D, (x, p) -> x + p.n * {share})"
+        return f"CASE WHEN s.{start} = 0 THEN 0D ELSE greatest({least}, ({START_WEIGHT} * s.{start} + {counted}) / ({START_WEIGHT} + {of})) END"
 
-    accuracy = f"transform({rules}, j -> greatest({MIN_ACCURACY}D, {votes_of_rule(4, 'p.n * p.q', 'p.n * (1 - p.q)')} / {votes_of_rule(5, 'p.n', 'p.n')}))"
+    good, poor = "p.q", "(1 - p.q)"
+    wrong = f"struct({rate('b1', '1', poor, f'{MIN_WRONG}D')} AS b1, {rate('g0', '0', good, f'{MIN_WRONG}D')} AS g0)"
+    rates = f"""transform(array({starts}), (s, j) -> transform(array({wrong}), w -> struct({rate("g1", "1", good, "w.b1")} AS g1, w.b1 AS b1,
+        {rate("b0", "0", poor, "w.g0")} AS b0, w.g0 AS g0))[0])"""
     step = f"""transform(array({posterior}), posterior -> struct(
-        aggregate(posterior, 1D, (x, p) -> x + p.n * p.q) / aggregate(posterior, 2D, (x, p) -> x + p.n) AS share,
-        {accuracy} AS accuracy))[0]"""
-    start = f"struct(0.8D AS share, transform({rules}, j -> 0.8D) AS accuracy)"
+        (10 * {START_SHARE}D + aggregate(posterior, 0D, (x, p) -> x + p.n * p.q)) / (10 + aggregate(posterior, 0D, (x, p) -> x + p.n)) AS share,
+        {rates} AS rates))[0]"""
+    start = f"struct({START_SHARE}D AS share, array({starts}) AS rates)"
     fitted = table.withColumn("m", F.expr(f"aggregate(sequence(1, {iterations}), {start}, (m, i) -> {step})"))
     return fitted.select(F.explode(F.expr(posterior)).alias("p")).select("p.votes", F.col("p.q").alias("quality"))
 
@@ -161,7 +180,7 @@ def judge(
     rated = features(mine).withColumns({"base_failed": base_failed(), "votes": votes(rules)}).drop(*MORE)
     rated = keep(rated if keep_text else rated.drop("text"), "rated")
     patterns = rated.groupBy("votes").agg(F.count("*").alias("n"))
-    qualities = keep(pattern_quality(patterns, len(rules), iterations), "qualities")
+    qualities = keep(pattern_quality(patterns, sides(rules), iterations), "qualities")
     # at most 3^rules rows
     return rated.join(F.broadcast(qualities), "votes").withColumn(
         "kept", ~F.col("base_failed") & (F.col("quality") >= min_quality)

@@ -131,15 +131,28 @@ def _quality_oracle() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     left = lambda characters: f"length(translate(bare, {quoted(characters)}, ''))"
     votes = " || ".join(f"CASE WHEN {good} THEN '1' WHEN {bad} THEN '0' ELSE '-' END" for good, bad in rules.values())
+    sides, least, weight = quality_rules.sides(), quality_rules.MIN_WRONG, quality_rules.START_WEIGHT
+    silent = lambda one, zero, j: f"greatest({least}, 1 - {one}[{j}] - {zero}[{j}])"
     odds = "ln(share / (1 - share))" + "".join(
-        f" + CASE substr(votes, {j}, 1) WHEN '1' THEN 1 WHEN '0' THEN -1 ELSE 0 END * ln(accuracy[{j}] / (1 - accuracy[{j}]))"
-        for j in range(1, n + 1)
-    )
-    accuracy = ", ".join(
-        f"greatest({quality_rules.MIN_ACCURACY}, (4 + sum(n * CASE substr(votes, {j}, 1) WHEN '1' THEN q WHEN '0' THEN 1 - q ELSE 0 END))"
-        f" / (5 + sum(CASE WHEN substr(votes, {j}, 1) <> '-' THEN n ELSE 0 END)))"
+        f" + CASE substr(votes, {j}, 1) WHEN '1' THEN ln(g1[{j}] / b1[{j}]) WHEN '0' THEN ln(g0[{j}] / b0[{j}])"
+        f" ELSE ln({silent('g1', 'g0', j)} / {silent('b1', 'b0', j)}) END"
         for j in range(1, n + 1)
     )
+    starts = {
+        "g1": [quality_rules.GOOD_RIGHT * good for good, _ in sides], "b1": [quality_rules.GOOD_WRONG * good for good, _ in sides],
+        "b0": [quality_rules.BAD_RIGHT * bad for _, bad in sides], "g0": [least * bad for _, bad in sides],
+    }
+
+    def rates(name: str) -> str:
+        vote, share = name[1], "q" if name[0] == "g" else "(1 - q)"
+        one = lambda j, start, floor: (
+            f"greatest({floor}, ({weight} * {start} + sum(CASE WHEN substr(votes, {j}, 1) = '{vote}' THEN n * {share} ELSE 0 END)) / ({weight} + sum(n * {share})))"
+            if start else "0::DOUBLE"
+        )
+        return "[" + ", ".join(one(j, start, least) for j, start in enumerate(starts[name], 1)) + "]"
+
+    above = lambda right, wrong: "[" + ", ".join(f"greatest({right}[{j}], {wrong}[{j}])" for j in range(1, n + 1)) + "]"
+    listed = ", ".join("[" + ", ".join(f"{x}::DOUBLE" for x in starts[name]) + f"] AS {name}" for name in starts)
     return f"""
         WITH RECURSIVE d AS (
             SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {WORDS} AS w,
@@ -163,11 +176,13 @@ def _quality_oracle() -> str:
         voted AS (SELECT *, {votes} AS votes FROM counts),
         patterns AS (SELECT votes, count(*)::DOUBLE AS n FROM voted GROUP BY votes),
         model AS (
-            SELECT 0 AS i, 0.8::DOUBLE AS share, [{", ".join(["0.8::DOUBLE"] * n)}] AS accuracy
+            SELECT 0 AS i, {quality_rules.START_SHARE}::DOUBLE AS share, {listed}
             UNION ALL
-            SELECT i + 1, (1 + sum(n * q)) / (2 + sum(n)), [{accuracy}]
-            FROM (SELECT i, votes, n, 1 / (1 + exp(-({odds}))) AS q FROM model, patterns WHERE i < {quality_rules.ITERATIONS})
-            GROUP BY i),
+            SELECT i, share, {above("g1", "b1")}, b1, {above("b0", "g0")}, g0 FROM (
+                SELECT i + 1 AS i, (10 * {quality_rules.START_SHARE} + sum(n * q)) / (10 + sum(n)) AS share,
+                    {", ".join(f"{rates(name)} AS {name}" for name in starts)}
+                FROM (SELECT i, votes, n, 1 / (1 + exp(-({odds}))) AS q FROM model, patterns WHERE i < {quality_rules.ITERATIONS})
+                GROUP BY i)),
         rated AS (
             SELECT votes, 1 / (1 + exp(-({odds}))) AS quality FROM patterns, model WHERE i = {quality_rules.ITERATIONS})
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
