@@ -10,15 +10,17 @@ and per source, not per document:
 * from a pattern to each of its sources, without limit;
 * from a source to the end: the source's target.
 
-The cheapest largest flow says how many words of each pattern go to each source.
+The cheapest largest flow says how many words of each pattern go to each source.  All cost lies on the
+first arcs, so it is found repetition by repetition: the largest flow with one pass of each pattern, extended
+with two, and so on, along layers of shortest paths.  A source that shares no document needs no
+flow: it gets its target or all its words as often as allowed, whichever is less.
 Words times passes become documents by a seeded hash: all documents for the whole
 passes, and for the last one those with the smallest hashes, up to the cell of
 equal hashes that comes nearest to the amount.  That boundary is found by sums
 over hash prefixes, 12 bits at a time, so nothing is sorted or ranked.
 
-The table of patterns comes to the driver; it has a row per distinct set of
-sources, which grows with the number of sources, not with the documents.  More
-than MAX_PATTERNS is an error, never a cut.
+The table of patterns comes to the driver, in Arrow columns; it has a row per distinct set of
+sources, which grows with the number of sources, not with the documents.
 
 Nulls: a missing text has no words; a missing source, or a missing or empty list
 of sources, is a source of its own that comes last.  A document without words is
@@ -31,6 +33,7 @@ import math
 from collections import deque
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +43,6 @@ from .text import n_words
 MAX_REPEATS = 3
 WEIGHTS = (5, 2, 1)
 SEED = "mix-1"
-MAX_PATTERNS = 200_000
 #: Bits of a document's hash, and how many are looked at in one step.
 HASH_BITS, STEP_BITS = 36, 12
 
@@ -53,88 +55,105 @@ def seeded_hash(doc_id: str = "doc_id", seed: str = SEED) -> Column:
 
 def water_fill(sizes: list[int], weights: list[float], total: int, times: int = MAX_REPEATS) -> list[float]:
     """Shares of ``total`` by weight, none above ``times`` its size, the excess shared again by weight."""
-    targets = [0.0] * len(sizes)
-    open_ = list(range(len(sizes)))
-    left: float = total
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        if weight <= 0:
+    size, weight = np.array(sizes, float), np.array(weights, float)
+    most, targets = times * size, np.zeros(len(size))
+    full = np.zeros(len(size), bool)
+    while (open_weight := weight[~full].sum()) > 0:
+        share = weight * (total - most[full].sum()) / open_weight
+        over = ~full & (share > most)
+        if not over.any():
+            targets[~full] = share[~full]
             break
-        full = [i for i in open_ if weights[i] * left / weight > times * sizes[i]]
-        if not full:
-            for i in open_:
-                targets[i] = weights[i] * left / weight
-            break
-        for i in full:
-            targets[i] = float(times * sizes[i])
-            left -= times * sizes[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return targets
+        full |= over
+    targets[full] = most[full]
+    return targets.tolist()
 
 
 @dataclass
 class _Arc:
     to: int
     room: float
-    cost: int
     back: int
 
 
 class FlowNetwork:
-    """Cheapest largest flow, found along cheapest paths one after the other."""
+    """Largest flow in layers: all shortest paths are filled before paths are sought anew."""
 
     def __init__(self, nodes: int):
         self.arcs: list[list[_Arc]] = [[] for _ in range(nodes)]
 
-    def add(self, a: int, b: int, room: float, cost: int) -> _Arc:
-        """An arc; what flows on it in the end is the room of its reverse."""
-        self.arcs[a].append(_Arc(b, room, cost, len(self.arcs[b])))
-        self.arcs[b].append(_Arc(a, 0.0, -cost, len(self.arcs[a]) - 1))
-        return self.arcs[b][-1]
+    def add(self, a: int, b: int, room: float) -> tuple[_Arc, _Arc]:
+        """An arc and its reverse, whose room is what flows."""
+        self.arcs[a].append(_Arc(b, room, len(self.arcs[b])))
+        self.arcs[b].append(_Arc(a, 0.0, len(self.arcs[a]) - 1))
+        return self.arcs[a][-1], self.arcs[b][-1]
+
+    def _layers(self, start: int, least: float) -> list[int]:
+        layer, waiting = [-1] * len(self.arcs), deque([start])
+        layer[start] = 0
+        while waiting:
+            a = waiting.popleft()
+            for arc in self.arcs[a]:
+                if arc.room > least and layer[arc.to] < 0:
+                    layer[arc.to] = layer[a] + 1
+                    waiting.append(arc.to)
+        return layer
 
     def run(self, start: int, end: int, least: float) -> None:
-        while True:
-            cost = [math.inf] * len(self.arcs)
-            via: list[tuple[int, int] | None] = [None] * len(self.arcs)
-            cost[start], waiting, is_waiting = 0, deque([start]), {start}
-            while waiting:
-                a = waiting.popleft()
-                is_waiting.discard(a)
-                for i, arc in enumerate(self.arcs[a]):
-                    if arc.room > least and cost[a] + arc.cost < cost[arc.to]:
-                        cost[arc.to], via[arc.to] = cost[a] + arc.cost, (a, i)
-                        if arc.to not in is_waiting:
-                            is_waiting.add(arc.to)
-                            waiting.append(arc.to)
-            if via[end] is None:
-                return
-            path, at = [], end
-            while at != start:
-                a, i = via[at]
-                path.append((a, i))
-                at = a
-            room = min(self.arcs[a][i].room for a, i in path)
-            for a, i in path:
-                arc = self.arcs[a][i]
-                arc.room -= room
-                self.arcs[arc.to][arc.back].room += room
+        """Extend what flows to the largest flow; rooms of ``least`` or less count as none."""
+        while (layer := self._layers(start, least))[end] >= 0:
+            tried = [0] * len(self.arcs)
+            path: list[_Arc] = []
+            at = start
+            while True:
+                if at == end:
+                    room = min(arc.room for arc in path)
+                    for arc in path:
+                        arc.room -= room
+                        self.arcs[arc.to][arc.back].room += room
+                    # go back to before the first arc that is full
+                    keep_ = next(i for i, arc in enumerate(path) if arc.room <= least)
+                    at = self.arcs[path[keep_].to][path[keep_].back].to
+                    path = path[:keep_]
+                elif tried[at] < len(self.arcs[at]):
+                    arc = self.arcs[at][tried[at]]
+                    if arc.room > least and layer[arc.to] == layer[at] + 1:
+                        path.append(arc)
+                        at = arc.to
+                    else:
+                        tried[at] += 1
+                elif path:
+                    arc = path.pop()
+                    at = self.arcs[arc.to][arc.back].to
+                    tried[at] += 1
+                else:
+                    break
 
 
 def route(
     patterns: list[tuple[tuple[int, ...], int]], targets: list[float], times: int = MAX_REPEATS
 ) -> list[dict[int, float]]:
     """For each pattern (its sources, its words): the words that each source gets from it."""
+    shared = {s for sources, _ in patterns if len(sources) > 1 for s in sources}
+    out = [{} if set(sources) & shared else {s: min(targets[s], float(times * size)) for s in sources} for sources, size in patterns]
+    inside = [p for p, (sources, _) in enumerate(patterns) if set(sources) & shared]
     start, end = 0, 1
-    net = FlowNetwork(2 + len(patterns) + len(targets))
-    to_source: list[dict[int, _Arc]] = []
-    for p, (sources, size) in enumerate(patterns):
-        for again in range(times):
-            net.add(start, 2 + p, float(size), again * again)
-        to_source.append({s: net.add(2 + p, 2 + len(patterns) + s, math.inf, 0) for s in sources})
-    for s, target in enumerate(targets):
-        net.add(2 + len(patterns) + s, end, target, 0)
-    net.run(start, end, least=1e-6)
-    return [{s: arc.room for s, arc in arcs.items()} for arcs in to_source]
+    node = {s: 2 + len(inside) + i for i, s in enumerate(sorted(shared))}
+    net = FlowNetwork(2 + len(inside) + len(node))
+    first, to_source = [], []
+    for i, p in enumerate(inside):
+        first.append(net.add(start, 2 + i, 0.0)[0])
+        to_source.append({s: net.add(2 + i, node[s], math.inf)[1] for s in patterns[p][0]})
+    for s, at in node.items():
+        net.add(at, end, targets[s])
+    for _ in range(times):
+        # once more through every pattern costs more than any way to use the passes before
+        for arc, p in zip(first, inside):
+            arc.room += float(patterns[p][1])
+        net.run(start, end, least=1e-6)
+    for i, p in enumerate(inside):
+        out[p] = {s: arc.room for s, arc in to_source[i].items()}
+    return out
 
 
 def _last_pass(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -187,14 +206,18 @@ def mix(
     )
     # null-safe on arrays that may hold nulls: patterns are joined by their text
     rows = keep(rows.withColumn("_pattern", F.to_json("membership")), "mix_rows")
-    summed = rows.groupBy("membership").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
-    if len(summed) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} distinct sets of sources")
-    summed.sort(key=lambda r: [(x is None, x or "") for x in r["membership"]])
-    order = sorted({x for r in summed for x in r["membership"]}, key=lambda x: (x is None, x or ""))
+    # a row per distinct set of sources
+    table = rows.groupBy("membership").agg(F.sum("size").alias("words")).toArrow()
+    summed = [(tuple(m), int(w or 0)) for m, w in zip(table.column("membership").to_pylist(), table.column("words").to_pylist())]
+    code_points = lambda x: (x is None, x or "")
+    summed.sort(key=lambda r: [code_points(x) for x in r[0]])
+    order = sorted({x for members, _ in summed for x in members}, key=code_points)
     number = {x: i for i, x in enumerate(order)}
-    patterns = [(tuple(number[x] for x in r["membership"]), int(r["words"] or 0)) for r in summed]
-    source_words = [sum(words for sources_, words in patterns if i in sources_) for i in range(len(order))]
+    patterns = [(tuple(number[x] for x in members), words) for members, words in summed]
+    source_words = [0] * len(order)
+    for members, words in patterns:
+        for i in members:
+            source_words[i] += words
     if weights is None:
         source_weights: list[float] = [WEIGHTS[i % len(WEIGHTS)] for i in range(len(order))]
     else:
@@ -206,7 +229,7 @@ def mix(
         used = min(sum(flow[p].values()), float(times * words))
         full = min(int(used // words), times) if words else 0
         first = sources_[0]
-        plan.append((p, summed[p]["membership"], full, used - full * words, source_words[first], targets[first]))
+        plan.append((p, list(summed[p][0]), full, used - full * words, source_words[first], targets[first]))
     table = spark.createDataFrame(
         plan, "pattern int, membership array<string>, full int, words double, source_size long, target double"
     )

@@ -4,8 +4,8 @@ Sequences are padded to the upper bound of their length bucket.  Dynamic program
 global histogram of lengths chooses the bounds with the least padding overall; inside each
 bucket, batches of as many sequences as the token budget allows are formed.
 
-* The histogram's cells are lengths rounded up to ``PRECISION`` significant bits, each with its count, the sum and the
-  largest of its lengths: lengths up to 2^PRECISION are exact, longer ones within 0.4 %, and there are at most
+* The histogram has a cell per length, so bounds are optimal for lengths below 2^(PRECISION + 1) = 131 072 words.  Only
+  longer ones share cells, of lengths within 0.0015 %, each with its count, the sum and the largest of its lengths: at most
   2^PRECISION cells per octave, whatever the input.  Padding is counted from true sums, and a bound is the
   largest true length of its last cell, so nothing is ever cut.
 * Batches need a running number inside a bucket.  Rows are range-partitioned by bucket and a seeded hash and written;
@@ -28,7 +28,7 @@ from .text import n_words
 
 BUCKETS = 16
 TOKEN_BUDGET = 16_384
-PRECISION = 8
+PRECISION = 16
 SEED = "pack-1"
 
 
@@ -43,7 +43,7 @@ def best_bounds(largest: np.ndarray, counts: np.ndarray, sums: np.ndarray, bucke
     """Upper bounds of at most ``buckets`` buckets over cells in the order of length, with the least padding.
 
     ``cost[k][j]``: least padding of the first j cells in k buckets.  The last bucket's best start
-    never moves back as j grows, so each row is filled by halving, in n log n steps.
+    never moves back as j grows, so each row is filled by halving, in n log n steps; all halves of one size at once.
     """
     n = len(largest)
     n_before = np.concatenate([[0], np.cumsum(counts)]).astype(float)
@@ -54,17 +54,19 @@ def best_bounds(largest: np.ndarray, counts: np.ndarray, sums: np.ndarray, bucke
     for _ in range(min(buckets, n)):
         new, start = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
         new[0] = 0
-        spans = [(1, n, 0, n - 1)]
-        while spans:
-            first, last, low, high = spans.pop()
-            if first > last:
-                continue
+        spans = np.array([[1, n, 0, n - 1]])
+        while len(spans):
+            first, last, low, high = spans.T
             j = (first + last) // 2
-            i = np.arange(low, min(high, j - 1) + 1)
-            padding = cost[i] + largest[j - 1] * (n_before[j] - n_before[i]) - (sum_before[j] - sum_before[i])
-            best = int(np.argmin(padding))
-            new[j], start[j] = padding[best], i[best]
-            spans += [(first, j - 1, low, int(i[best])), (j + 1, last, int(i[best]), high)]
+            sizes = np.minimum(high, j - 1) - low + 1
+            begins = np.cumsum(sizes) - sizes
+            i = np.repeat(low - begins, sizes) + np.arange(sizes.sum())
+            at = np.repeat(j, sizes)
+            padding = cost[i] + largest[at - 1] * (n_before[at] - n_before[i]) - (sum_before[at] - sum_before[i])
+            new[j] = np.minimum.reduceat(padding, begins)
+            start[j] = np.minimum.reduceat(np.where(padding == np.repeat(new[j], sizes), i, n), begins)
+            halves = np.concatenate([np.column_stack([first, j - 1, low, start[j]]), np.column_stack([j + 1, last, start[j], high])])
+            spans = halves[halves[:, 0] <= halves[:, 1]]
         starts.append(start)
         cost = new
     bounds, j = [], n

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 from itertools import product
 
@@ -54,6 +55,41 @@ def test_route_is_cheapest():
     assert cost_of(flow, patterns) == pytest.approx(best)
 
 
+def test_routes_match_brute_force():
+    r = random.Random(7)
+    for _ in range(25):
+        patterns = [(tuple(sorted(r.sample(range(3), r.randint(1, 2)))), r.randint(0, 2)) for _ in range(3)]
+        targets = [float(r.randint(0, 4)) for _ in range(3)]
+        flow = mixing.route(patterns, targets, times=2)
+        for (sources, size), per in zip(patterns, flow):
+            assert set(per) == set(sources) and sum(per.values()) <= 2 * size + 1e-9
+        got = [sum(f.get(s, 0) for f in flow) for s in range(3)]
+        assert all(g <= t + 1e-9 for g, t in zip(got, targets))
+        choices = []
+        for sources, size in patterns:
+            splits = product(range(2 * size + 1), repeat=len(sources))
+            choices.append([dict(zip(sources, x)) for x in splits if sum(x) <= 2 * size])
+        best = None
+        for made in product(*choices):
+            sums = [sum(f.get(s, 0) for f in made) for s in range(3)]
+            if all(x <= t for x, t in zip(sums, targets)):
+                key = (-sum(sums), cost_of(made, patterns))
+                best = key if best is None or key < best else best
+        assert (-sum(got), cost_of(flow, patterns)) == pytest.approx(best)
+
+
+def test_many_sources_take_seconds():
+    r = random.Random(3)
+    n = 100_000
+    patterns = [((i,), r.randint(0, 900)) for i in range(n)] + [((i, i + 1), r.randint(1, 90)) for i in range(0, 4000, 2)]
+    sizes = [size for _, size in patterns[:n]]
+    start = time.perf_counter()
+    targets = mixing.water_fill(sizes, [mixing.WEIGHTS[i % 3] for i in range(n)], sum(sizes))
+    flow = mixing.route(patterns, targets)
+    assert time.perf_counter() - start < 30
+    assert all(flow[i] == {i: min(targets[i], 3.0 * sizes[i])} for i in range(4001, n))
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     r = random.Random(9)

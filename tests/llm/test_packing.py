@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -27,14 +28,32 @@ def test_bounds_are_the_best():
         assert padding(lengths, got) == best
 
 
+def test_long_lengths_are_exact(spark):
+    """Lengths far above 512 words, through the whole of ``bucket_bounds``."""
+    r = random.Random(9)
+    lengths = [r.choice([r.randint(500, 530), r.randint(10_000, 10_040), r.randint(100_000, 131_000)]) for _ in range(60)]
+    got = packing.bucket_bounds(spark.createDataFrame([(n,) for n in lengths], "length long"), 3)
+    distinct = sorted(set(lengths))
+    best = min(padding(lengths, [*some, distinct[-1]]) for some in combinations(distinct[:-1], 2))
+    assert len(got) == 3 and padding(lengths, got) == best
+
+
+def test_many_lengths_take_seconds():
+    largest = np.arange(1, 60_001)
+    counts = np.random.default_rng(1).integers(1, 50, len(largest))
+    start = time.perf_counter()
+    assert len(packing.best_bounds(largest, counts, largest * counts, 16)) == 16
+    assert time.perf_counter() - start < 30
+
+
 def test_cells_hold_lengths(spark):
     from pyspark.sql import functions as F
 
-    values = [0, 1, 2, 255, 256, 257, 511, 512, 513, 1025, 123_456, 10**9]
+    values = [0, 1, 2, 255, 256, 257, 511, 512, 513, 1025, 123_456, 131_071, 131_073, 10**9]
     rows = spark.createDataFrame([(v,) for v in values], "n long").select("n", packing.length_cell(F.col("n")).alias("c")).collect()
     for r in rows:
-        assert r.n <= r.c <= r.n * (1 + 1 / 256)
-        assert r.n > 512 or r.c == r.n
+        assert r.n <= r.c <= r.n * (1 + 1 / 65_536)
+        assert r.n > 131_072 or r.c == r.n
 
 
 @pytest.mark.parametrize("partitions", [1, 5])
