@@ -133,7 +133,7 @@ class FlowNetwork:
 def route(
     patterns: list[tuple[tuple[int, ...], int]], targets: list[float], times: int = MAX_REPEATS
 ) -> list[dict[int, float]]:
-    """For each pattern (its sources, its words): the words that each source gets from it."""
+    """For each pattern (its sources, its words): the words that each source gets from it.  No two have the same sources."""
     shared = {s for sources, _ in patterns if len(sources) > 1 for s in sources}
     out = [{} if set(sources) & shared else {s: min(targets[s], float(times * size)) for s in sources} for sources, size in patterns]
     inside = [p for p, (sources, _) in enumerate(patterns) if set(sources) & shared]
