@@ -388,7 +388,7 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score
          row_number() OVER (PARTITION BY qid ORDER BY round(cosine, 9) DESC, doc_id) AS rank FROM cosines)
 WHERE rank <= 3 AND score >= {MIN_SCORE}"""
 
-ORACLE["retrieve_topk_tiled"] = ORACLE["retrieve_topk"]
+ORACLE["retrieve_topk_tiled"] = ORACLE["index_roundtrip"] = ORACLE["retrieve_topk"]
 
 CONTENT = " || chr(10) || ".join(f"{lit('【' + label + '】')} || {slot(f)}" for f, label in C.DOCUMENT_LABELS.items())
 DOCS = f"docs AS (SELECT dataid AS doc_id, name, city, {CONTENT} AS content FROM kb)"
@@ -434,7 +434,7 @@ hits AS (
                row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM fused) f
   JOIN docs d ON f.doc_id = d.doc_id WHERE rank <= 3 AND score >= {MIN_SCORE})"""
 ORACLE["hybrid_topk"] = f"{HITS} SELECT qid, rank, doc_id, round(score, 6) AS score FROM hits"
-ORACLE["hybrid_topk_tiled"] = ORACLE["hybrid_topk"]
+ORACLE["hybrid_topk_tiled"] = ORACLE["hybrid_topk_stored"] = ORACLE["hybrid_topk"]
 ORACLE["score_breakdown"] = f"""{HITS}
 SELECT qid, rank, name, city, round(score, 6) AS score, round(cosine, 6) AS tfidf_score, round(boost, 6) AS entity_boost
 FROM hits"""

@@ -20,7 +20,7 @@ from factlane.operators.substrings import build_substring_index, find_substrings
 from factlane.plans import classify_qa, dispatch, ingest, retrieval_qa, rule_qa
 from factlane.scale import durable, scratch_path, spread_small
 from factlane.schemas import KB_COLUMNS
-from factlane.sources import city_csv, tables
+from factlane.sources import city_csv, index_store, tables
 from factlane.streaming import answers
 from factlane.training_set import TRAINING_TEXTS
 
@@ -391,6 +391,21 @@ def retrieve_topk_tiled(t: Tables) -> DataFrame:
     return hits.select(F.col("qid").alias("item_id"), "rank", "doc_id", r6("score").alias("score"))
 
 
+@query
+def index_roundtrip(t: Tables) -> DataFrame:
+    """The search of a stored index: made of two thirds of the documents, the others appended, then merged to one segment."""
+    path, config = scratch_path(t.spark, "index"), RetrievalConfig()
+    documents, late = t.documents.select("doc_id", "text"), F.pmod("doc_id", F.lit(3)) == 2
+    index_store.append(documents.where(~late), path, "text")
+    index_store.append(documents.where(late), path, "text")
+    index_store.compact(t.spark, path)
+    index = index_store.open_index(t.spark, path, config)
+    asked = t.benchmark.select(F.col("item_id").alias("qid"), "text")
+    vectors = termindex.query_vectors(asked, "text", index.vocabulary)
+    hits = top_documents(vectors, index.in_ranges(), Scoring(config.top_k, config.min_score))
+    return hits.select(F.col("qid").alias("item_id"), "rank", "doc_id", r6("score").alias("score"))
+
+
 @query
 def row_documents(t: Tables) -> DataFrame:
     return retrieval_qa.row_documents(t.kb)
@@ -417,6 +432,18 @@ def hybrid_topk(t: Tables) -> DataFrame:
     return hits.select("qid", "rank", "doc_id", r6("score").alias("score"))
 
 
+@query
+def hybrid_topk_stored(t: Tables) -> DataFrame:
+    """The same search in a stored index of two segments, opened twice: the second time nothing is made anew."""
+    path, late = scratch_path(t.spark, "index"), F.pmod("dataid", F.lit(4)) == 1
+    retrieval_qa.stored_document_index(t.kb.where(~late), path)
+    retrieval_qa.add_to_index(t.kb.where(late), path)
+    retrieval_qa.stored_document_index(t.kb, path)
+    index = retrieval_qa.stored_document_index(t.kb, path)
+    hits = retrieval_qa.retrieve(t.questions, index, lexicon.entity_index(t.kb))
+    return hits.select("qid", "rank", "doc_id", r6("score").alias("score"))
+
+
 @query
 def hybrid_topk_tiled(t: Tables) -> DataFrame:
     """The ways for large tables, forced: tiles of queries and documents, a shuffled substring join."""

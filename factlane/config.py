@@ -34,7 +34,7 @@ class RetrievalConfig:
 
     def index_key(self, source: str) -> str:
         """Names the index of one input; only settings the index depends on count."""
-        return f"{source}#features={self.max_features}"
+        return f"{source}-features-{self.max_features}"
 
 
 @dataclass(frozen=True)

@@ -63,8 +63,8 @@ def _ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([_range_row(number, rest)])
 
 
-def build_ranges(vectors: DataFrame, beside: tuple[str, ...] = ()) -> DataFrame:
-    """The ranges of ``vectors`` (doc_id, terms, weights), written once.
+def ranges_of(vectors: DataFrame, beside: tuple[str, ...] = ()) -> DataFrame:
+    """The ranges of ``vectors`` (doc_id, terms, weights).
 
     Documents are sorted by the columns ``beside`` and their leading terms; one shuffle, which a
     term that leads most documents doesn't skew, since doc_id cuts it too.
@@ -73,7 +73,12 @@ def build_ranges(vectors: DataFrame, beside: tuple[str, ...] = ()) -> DataFrame:
     order = [*beside, "_lead", "doc_id"]
     led = vectors.withColumn("_lead", F.transform(heaviest, lambda x: x["terms"])).select(*order, "terms", "weights")
     placed = led.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "terms", "weights")
-    return durable(placed.mapInPandas(_ranges, COLUMNS), all_cores=True)
+    return placed.mapInPandas(_ranges, COLUMNS)
+
+
+def build_ranges(vectors: DataFrame, beside: tuple[str, ...] = ()) -> DataFrame:
+    """The ranges, written once."""
+    return durable(ranges_of(vectors, beside), all_cores=True)
 
 
 def with_marks(ranges: DataFrame, favoured: DataFrame) -> DataFrame:

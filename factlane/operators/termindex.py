@@ -110,11 +110,20 @@ def word_and_pair_terms(texts: DataFrame, key: str, text: str) -> DataFrame:
     return count_rows(with_word_counts(spread_small(texts.select(key, text)), text), key)
 
 
-def term_idf(counts: DataFrame, texts: DataFrame) -> DataFrame:
-    """(term, df, cf, idf) with idf = ln((1 + n) / (1 + df)) + 1."""
+def term_totals(counts: DataFrame) -> DataFrame:
+    """(term, df, cf): texts that hold the term, and how often they do."""
+    return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def with_idf(totals: DataFrame, texts: DataFrame) -> DataFrame:
+    """Adds idf = ln((1 + n) / (1 + df)) + 1."""
     n = texts.agg(F.count("*").alias("n")).scalar()
-    grouped = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    return grouped.withColumn("idf", F.log((1 + n) / (1 + F.col("df"))) + 1)
+    return totals.withColumn("idf", F.log((1 + n) / (1 + F.col("df"))) + 1)
+
+
+def term_idf(counts: DataFrame, texts: DataFrame) -> DataFrame:
+    """(term, df, cf, idf) of the texts whose counts are given."""
+    return with_idf(term_totals(counts), texts)
 
 
 def prune_vocabulary(

@@ -21,6 +21,7 @@ from factlane.operators.substrings import SubstringIndex
 from factlane.operators.termindex import TermIndex, build_index, query_vectors
 from factlane.plans.rule_qa import entity_struct
 from factlane.scale import durable, salted_lookup
+from factlane.sources import index_store
 
 #: From prompts (qid, system_prompt, prompt) and the settings to (qid, generated, status).
 Generator = Callable[[DataFrame, RetrievalConfig], DataFrame]
@@ -48,6 +49,18 @@ def document_index(kb: DataFrame, config: RetrievalConfig = RetrievalConfig()) -
     return TermIndex(index.vocabulary, documents, build_ranges(documents, beside=("city",)))
 
 
+def stored_document_index(kb: DataFrame, path: str, config: RetrievalConfig = RetrievalConfig()) -> TermIndex:
+    """The index stored at ``path``, made of ``kb`` if there is none; later rows are added by ``add_to_index``."""
+    if not index_store.exists(kb.sparkSession, path):
+        add_to_index(kb, path)
+    return index_store.open_index(kb.sparkSession, path, config, beside=("city",))
+
+
+def add_to_index(kb: DataFrame, path: str) -> int:
+    """Adds the documents of new rows to the index stored at ``path``; returns its version."""
+    return index_store.append(row_documents(kb), path, "content")
+
+
 def retrieve(
     questions: DataFrame,
     index: TermIndex,
