@@ -393,11 +393,11 @@ def retrieve_topk_tiled(t: Tables) -> DataFrame:
 
 @query
 def index_roundtrip(t: Tables) -> DataFrame:
-    """The search of a stored index: made of two thirds of the documents, the others appended, then merged to one segment."""
+    """The search of a stored index of ids: made of two thirds of the documents, the others appended, then merged."""
     path, config = scratch_path(t.spark, "index"), RetrievalConfig()
     documents, late = t.documents.select("doc_id", "text"), F.pmod("doc_id", F.lit(3)) == 2
-    index_store.append(documents.where(~late), path, "text")
-    index_store.append(documents.where(late), path, "text")
+    index_store.append(documents.where(~late), path, "text", columns=[])
+    index_store.append(documents.where(late), path, "text", columns=[])
     index_store.compact(t.spark, path)
     index = index_store.open_index(t.spark, path, config)
     asked = t.benchmark.select(F.col("item_id").alias("qid"), "text")

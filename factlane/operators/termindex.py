@@ -203,7 +203,8 @@ class TermIndex:
 
     ``vocabulary``: term, df, cf, idf, idx.  ``documents``: the documents with
     ``terms`` and ``weights``; documents without a known term have empty arrays.
-    ``ranges``: the documents' vectors as a block-max index, if it has been made.
+    ``ranges``: the documents' vectors as a block-max index, if it has been made; those of a
+    stored index are there alone.
     """
 
     vocabulary: DataFrame

@@ -20,7 +20,7 @@ from factlane.operators.retrieval import Scoring, ranked, search
 from factlane.operators.substrings import SubstringIndex
 from factlane.operators.termindex import TermIndex, build_index, query_vectors
 from factlane.plans.rule_qa import entity_struct
-from factlane.scale import durable, salted_lookup
+from factlane.scale import durable, salted_lookup, spread_small
 from factlane.sources import index_store
 
 #: From prompts (qid, system_prompt, prompt) and the settings to (qid, generated, status).
@@ -58,7 +58,7 @@ def stored_document_index(kb: DataFrame, path: str, config: RetrievalConfig = Re
 
 def add_to_index(kb: DataFrame, path: str) -> int:
     """Adds the documents of new rows to the index stored at ``path``; returns its version."""
-    return index_store.append(row_documents(kb), path, "content")
+    return index_store.append(spread_small(row_documents(kb)), path, "content")
 
 
 def retrieve(
