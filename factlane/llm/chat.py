@@ -19,10 +19,15 @@ Nulls: a missing role is an unknown one; unknown roles fit any state at the cost
 A missing text is empty; a missing turn number comes first; rows without a conversation id form one
 conversation.  Equal turn numbers are ordered by role and text, repeated rows are turns that repeat.  Role names are
 compared in lower case and without spaces around them.
+
+Texts can't forge turns: markers begin with "<|", which is kept out of rendered texts by a backslash put between the
+two characters, also where backslashes stand there already; ``unescaped`` takes it out again.  Texts are of any length; one
+is held whole in its task.  Extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -189,6 +194,16 @@ def open_turn(role: str) -> str:
 CLOSE = "<|end|>\n"
 
 
+def escaped(text: str) -> str:
+    """``text`` without "<|", the beginning of every marker."""
+    return re.sub(r"<(\\*)\|", r"<\\\1|", text)
+
+
+def unescaped(text: str) -> str:
+    """The text that ``escaped`` was given."""
+    return re.sub(r"<\\(\\*)\|", r"<\1|", text)
+
+
 def rendered(text: str, begin: int, to: int, written: tuple[int, ...], after: tuple[int, ...], last: bool) -> str:
     """What a turn adds to the rendered conversation; a turn is closed by the next one that isn't merged into it."""
     empty = lambda roles: "".join(open_turn(ROLES[r]) + CLOSE for r in roles)
@@ -219,7 +234,7 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before.append(max(len(written) - 1, 0))
             after.append(len(put_after))
             cost.append(price + INSERT * len(put_after))
-            pieces.append(rendered(run.column("text")[i].as_py() or "", state, to, written, put_after, at_end))
+            pieces.append(rendered(escaped(run.column("text")[i].as_py() or ""), state, to, written, put_after, at_end))
         own = [run.column(c).combine_chunks() for c in ("conv_id", "turn", "role", "position")]
         made = [
             pa.array(new_role, pa.string()), pa.array(action, pa.string()), pa.array(before, pa.int32()),
