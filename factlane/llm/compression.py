@@ -127,7 +127,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
 
 
 def score(docs: DataFrame, model: CompressionModel, text: str = "text", name: str = "score", keep_text: bool = False) -> DataFrame:
-    """``docs`` with the probability ``name`` that the text is good; ``text`` itself goes unless it is kept."""
+    """``docs`` with the probability ``name`` that the text is good; ``text`` itself goes unless it is kept.
+
+    A column of ``docs`` that is called ``name`` is replaced.  Whole texts are scored, however long.
+    """
+    docs = docs if text.lower() == name.lower() else docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     state: dict = {}
 

@@ -140,3 +140,15 @@ def test_sample_holds_one_row_of_each_id(spark):
     assert len(got) == 9 and sorted(r.label for r in got) == [0] * 5 + [1] * 4
     assert {r.text for r in got} > {f"own {i}" for i in range(1, 9)}
     assert {tuple(r) for r in got} == {tuple(r) for r in sample(docs.repartition(3), labels, "toxic", 10, "seed").collect()}
+
+
+@pytest.mark.parametrize("scored, model", [
+    (toxicity.score, toxicity.ToxicityModel(None, None, 0.25)),
+    (compression.score, compression.CompressionModel(None, None, None, None, 0.25)),
+])
+def test_a_column_named_like_the_score_is_replaced(spark, scored, model):
+    rows = [(1, "a", "old", 7), (2, None, None, 8), (3, "", "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Score string, _score int")
+    for keep_text in (False, True):
+        out = scored(docs, model, keep_text=keep_text).select("doc_id", "score", "_score").collect()
+        assert sorted(map(tuple, out)) == [(1, 0.25, 7), (2, 0.25, 8), (3, 0.25, 9)]
