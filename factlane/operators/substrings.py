@@ -30,19 +30,19 @@ ANCHOR_LENGTHS = (16, 8, 4, 2, 1)
 BITS_PER_VALUE, FILTER_BITS, PIECE_BITS = 16, 1 << 27, 32768
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(29))
 
 
 def piece_hashes(text: str, lengths: tuple[int, ...]) -> np.ndarray:
     """Hashes of all pieces of the text that have one of ``lengths``, powers of two; a length's hashes come from those of half of it."""
-    hashes = _mixed(np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1))
+    hashes = mixed(np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1))
     found, size = [], 1
     while len(hashes) and size <= max(lengths):
         if size in lengths:
             found.append(hashes)
-        hashes = _mixed(hashes[:-size] * np.uint64(0x9E3779B97F4A7C15) + hashes[size:])
+        hashes = mixed(hashes[:-size] * np.uint64(0x9E3779B97F4A7C15) + hashes[size:])
         size *= 2
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
@@ -104,10 +104,10 @@ def build_substring_index(dictionary: DataFrame, value: str = "value") -> Substr
     ).first()
     wanted = min(FILTER_BITS, max(PIECE_BITS, BITS_PER_VALUE * facts["rows"]))
     width = (wanted - 1).bit_length()
-    return SubstringIndex(written, tuple(sorted(facts["lengths"])), Size(facts["rows"], facts["bytes"]), width, _filter(written, width))
+    return SubstringIndex(written, tuple(sorted(facts["lengths"])), Size(facts["rows"], facts["bytes"]), width, filter_bits(written, width))
 
 
-def _filter(entries: DataFrame, width: int) -> np.ndarray:
+def filter_bits(entries: DataFrame, width: int) -> np.ndarray:
     """The filter's bytes; its pieces are made where the entries lie, and are FILTER_BITS together at most."""
     at = F.shiftrightunsigned("hash", 64 - width) + 1
     pieces = entries.groupBy(F.bitmap_bucket_number(at).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
