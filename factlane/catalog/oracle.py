@@ -482,6 +482,9 @@ SELECT qid, CASE WHEN qid % 4 = 0 THEN '回答' || CAST(qid AS VARCHAR) ELSE tem
        qid % 4 = 0 AS use_llm FROM templates"""
 ORACLE["batch_generate"] = f"""{HITS}, {PROMPTS}
 SELECT qid, '收到' || CAST(length(prompt) AS VARCHAR) || '字' AS generated, 'ok' AS status FROM prompts"""
+ORACLE["batch_generate_durable"] = f"""{HITS}, {PROMPTS}
+SELECT qid, CASE WHEN length(prompt) % 5 = 0 THEN '再收到' ELSE '收到' END || CAST(length(prompt) AS VARCHAR) || '字' AS generated,
+       'ok' AS status FROM prompts"""
 ORACLE["rag_qa"] = f"""{HITS}, {PROMPTS}, {TEMPLATES}, {INTENTS},
 listed AS (SELECT qid, count(*) AS n_docs, string_agg(CAST(doc_id AS VARCHAR), '|' ORDER BY rank) AS doc_ids,
                   arg_min(name, rank) AS best FROM hits GROUP BY qid)

@@ -17,7 +17,7 @@ from factlane.functions.intents import intent_description, with_keyword_intent
 from factlane.operators import classifier, lexicon, lookup, rows, stats, termindex
 from factlane.operators.retrieval import Scoring, score_totals, top_documents
 from factlane.operators.substrings import build_substring_index, find_substrings
-from factlane.plans import classify_qa, dispatch, ingest, retrieval_qa, rule_qa
+from factlane.plans import classify_qa, dispatch, generation, ingest, retrieval_qa, rule_qa
 from factlane.scale import durable, scratch_path, spread_small
 from factlane.schemas import KB_COLUMNS
 from factlane.sources import city_csv, index_store, tables
@@ -515,6 +515,26 @@ def batch_generate(t: Tables) -> DataFrame:
     return made.select("qid", "generated", "status")
 
 
+@query
+def batch_generate_durable(t: Tables) -> DataFrame:
+    """Prompts one by one, with retries, twice: the second call asks only what the first could not answer.
+
+    Lengths divisible by five get no answer in the first call, those divisible by three none at the first try.
+    """
+
+    def asking(word: str, down: bool):
+        def ask(system_prompt: str, prompt: str, config: RetrievalConfig, attempt: int) -> str:
+            if (down and len(prompt) % 5 == 0) or (attempt == 0 and len(prompt) % 3 == 0):
+                raise RuntimeError("busy")
+            return f"{word}{len(prompt)}字"
+
+        return generation.from_requests(ask, generation.RequestPolicy(retries=1, backoff=0.001))
+
+    asked, path = durable(retrieval_qa.prompts(t.questions, _hits(t))), scratch_path(t.spark, "answers")
+    generation.generate_durably(asked, asking("收到", down=True), path, rounds=2)
+    return generation.generate_durably(asked, asking("再收到", down=False), path, rounds=2)
+
+
 @query
 def rag_qa(t: Tables) -> DataFrame:
     answered = retrieval_qa.retrieval_qa(t.questions, t.kb)
