@@ -326,14 +326,7 @@ def rule_qa_answers(t: Tables) -> DataFrame:
 @query
 def stream_rule_qa(t: Tables) -> DataFrame:
     """Conversation turns as a file stream, each micro-batch answered by the rules."""
-    schema = t.conversations.schema
-    stream = (
-        t.spark.readStream.schema(schema)
-        .option("pathGlobFilter", "conversations.parquet")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(t.folder)
-    )
-    asked = stream.where(F.col("role") == "user").select(
+    asked = t.arriving("conversations").where(F.col("role") == "user").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"),
         F.concat("text", F.lit(" NATION_"), (F.col("conv_id") % 25).cast("string"), F.lit("怎么样？")).alias("text"),
     )

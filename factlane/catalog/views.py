@@ -152,6 +152,11 @@ class Tables:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         raise AttributeError(name)
 
+    def arriving(self, name: str) -> DataFrame:
+        """A table's files as a stream, one a batch; by a pattern, as a table is one file or a folder of them."""
+        files = self.spark.readStream.schema(getattr(self, name).schema).option("maxFilesPerTrigger", 1)
+        return files.parquet(f"{self.folder}/{name}.parque[t]")
+
     def select(self, sql: str) -> DataFrame:
         """Runs one of the role statements over this folder's tables."""
         for name in TABLES:
