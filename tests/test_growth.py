@@ -1,0 +1,24 @@
+"""Work that must not grow faster than its input, or all be done by one task."""
+
+import random
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from factlane import constants as C
+from factlane import scale
+from factlane.operators import boosts, linear, termindex
+
+
+def test_a_join_of_small_tables_is_dealt_out(spark, tmp_path, monkeypatch):
+    for name in "abc":
+        spark.range(2000).withColumnRenamed("id", name).coalesce(1).write.parquet(str(tmp_path / name))
+    a, b, c = (spark.read.parquet(str(tmp_path / name)) for name in "abc")
+    joined = a.join(b, F.col("a") == F.col("b")).join(c, F.col("a") == F.col("c"))
+    monkeypatch.setattr(scale, "SPREAD_BYTES", 1 << 20)
+    assert "Repartition" in scale.spread_small(joined)._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(scale, "SPREAD_BYTES", 1 << 10)
+    assert "Repartition" not in scale.spread_small(joined)._jdf.queryExecution().optimizedPlan().toString()
