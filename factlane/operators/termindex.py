@@ -23,6 +23,8 @@ from factlane.scale import durable, spread_small
 
 BUCKETS = 8192
 COUNTS = "_counts"
+#: So many words and counts a task has as Python objects.
+COUNTS_AT_ONCE = 1 << 16
 COUNT_TYPE = "array<struct<term: string, tf: bigint>>"
 #: The number of a single space.
 SPACE = ord(" ") << 22
@@ -54,16 +56,22 @@ def _char_counts(words: pa.Array) -> pa.Array:
 
 def _word_counts(words: bool, pairs: bool):
     def counted(tokens: pa.Array) -> pa.Array:
-        terms, counts, ends = [], [], [0]
-        for row in tokens.to_pylist():
+        # rows become Python objects one by one, and their counts Arrow's again before they are many
+        terms, counts, ends, made = [], [], [0], []
+        for row in tokens:
+            row = row.as_py()
             n = Counter(row or () if words else ())
             if pairs and row:
                 n.update(map(" ".join, zip(row, row[1:])))
-            for term in sorted(n):
-                terms.append(term)
-                counts.append(n[term])
-            ends.append(len(terms))
-        return _counts_column(ends, pa.array(terms, pa.string()), pa.array(counts, pa.int64()))
+            listed = sorted(n)
+            terms += listed
+            counts += map(n.get, listed)
+            ends.append(ends[-1] + len(listed))
+            if len(terms) >= COUNTS_AT_ONCE:
+                made.append((pa.array(terms, pa.string()), pa.array(counts, pa.int64())))
+                terms, counts = [], []
+        made.append((pa.array(terms, pa.string()), pa.array(counts, pa.int64())))
+        return _counts_column(ends, *map(pa.concat_arrays, zip(*made)))
 
     return counted
 

@@ -22,3 +22,21 @@ def test_a_join_of_small_tables_is_dealt_out(spark, tmp_path, monkeypatch):
     assert "Repartition" in scale.spread_small(joined)._jdf.queryExecution().optimizedPlan().toString()
     monkeypatch.setattr(scale, "SPREAD_BYTES", 1 << 10)
     assert "Repartition" not in scale.spread_small(joined)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counting_words_holds_few_python_objects(monkeypatch):
+    rng = random.Random(1)
+    rows = [[f"word{rng.randrange(100000)}" for _ in range(rng.choice([0, 1, 300]))] for _ in range(2000)] + [None]
+    tokens = pa.array(rows, pa.list_(pa.string()))
+    counted = termindex._word_counts(True, True)
+    tracemalloc.start()
+    got = counted(tokens)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * 2**20  # 29.6 MB when all rows were Python objects at once
+    monkeypatch.setattr(termindex, "COUNTS_AT_ONCE", 7)
+    assert got.equals(counted(tokens))
+    n = {}
+    for x in [*rows[0], *map(" ".join, zip(rows[0], rows[0][1:]))]:
+        n[x] = n.get(x, 0) + 1
+    assert len(got) == len(rows) and [(e["term"], e["tf"]) for e in got[0].as_py()] == sorted(n.items())
