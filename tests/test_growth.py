@@ -40,3 +40,25 @@ def test_counting_words_holds_few_python_objects(monkeypatch):
     for x in [*rows[0], *map(" ".join, zip(rows[0], rows[0][1:]))]:
         n[x] = n.get(x, 0) + 1
     assert len(got) == len(rows) and [(e["term"], e["tf"]) for e in got[0].as_py()] == sorted(n.items())
+
+
+def test_rows_are_packed_for_the_passes(spark):
+    rows = [(i % 3, 1.0 + i % 2, sorted({i % 7, i % 5}) if i % 11 else [], [0.5] * len({i % 7, i % 5}) if i % 11 else []) for i in range(1200)]
+    data = spark.createDataFrame(rows, "target int, weight double, terms array<int>, weights array<double>").coalesce(1)
+    packed = linear.packed(data).collect()
+    assert len(packed) == -(-1200 // linear.CHUNK_ROWS)
+    assert sum(len(np.frombuffer(r["target"], np.int32)) for r in packed) == 1200
+    assert sum(len(np.frombuffer(r["terms"], np.int32)) for r in packed) == sum(len(r[2]) for r in rows)
+    x, y = np.zeros((1200, 8)), -np.ones((1200, 3))
+    x[:, 7] = 1
+    for i, (target, _, terms, weights) in enumerate(rows):
+        x[i, terms] = weights
+        y[i, target] = 1
+    w = np.random.default_rng(0).normal(size=(8, 3))
+    short = np.maximum(1 - y * (x @ w), 0)
+    weight = np.array([r[1] for r in rows])[:, None]
+    loss, gradient = linear._sums(linear.packed(data), lambda chunks, w: linear._loss(chunks, w, 2.0), w)
+    assert loss == pytest.approx((2 * weight * short**2).sum(axis=0))
+    assert gradient == pytest.approx(-2 * x.T @ (2 * weight * short * y))
+    bend = linear._sums(linear.packed(data), lambda chunks, width: linear._bend(chunks, width, 2.0), 7)[1]
+    assert bend[:, 0] == pytest.approx((4 * weight * x**2).sum(axis=0))
