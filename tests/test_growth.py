@@ -62,3 +62,26 @@ def test_rows_are_packed_for_the_passes(spark):
     assert gradient == pytest.approx(-2 * x.T @ (2 * weight * short * y))
     bend = linear._sums(linear.packed(data), lambda chunks, width: linear._bend(chunks, width, 2.0), 7)[1]
     assert bend[:, 0] == pytest.approx((4 * weight * x**2).sum(axis=0))
+
+
+def test_the_highest_boost_is_found_by_joins(spark):
+    rng = random.Random(4)
+    names, cities, provinces = ["甲", "乙", "甲乙", "丙丁", "丁"], ["城A", "城B", "城C"], ["省X", "省Y"]
+    docs = [(i if i else None, rng.choice([*names, None]), rng.choice(cities), "".join(rng.choices([*provinces, "无"], k=2))) for i in range(12)]
+    known = [(q, *(rng.sample(v, rng.randint(0, 2)) for v in (names, cities, provinces))) for q in range(60)]
+    found = boosts.most_boosted(
+        spark.createDataFrame(known, "qid long, names array<string>, cities array<string>, provinces array<string>"),
+        spark.createDataFrame(docs, "doc_id long, name string, city string, content string"),
+    )
+
+    def boost(doc, asked):
+        _, name, city, content = doc
+        total = C.BOOST_CITY * (city in asked[1]) + C.BOOST_PROVINCE * any(p in content for p in asked[2])
+        if name in asked[0]:
+            return total + C.BOOST_NAME
+        return total + C.BOOST_NAME_PART * any(name and (n in name or name in n) for n in asked[0])
+
+    assert "MapInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["qid"]: round(r["max_boost"], 9) for r in found.collect()} == {
+        q: round(max([0.0, *(boost(d, asked) for d in docs if d[0] is not None)]), 9) for q, *asked in known
+    }
