@@ -2,15 +2,19 @@
 
 import random
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from factlane import constants as C
 from factlane import scale
-from factlane.operators import boosts, linear, termindex
+from factlane.operators import boosts, linear, ranges, termindex
 
 
 def test_a_join_of_small_tables_is_dealt_out(spark, tmp_path, monkeypatch):
@@ -85,3 +89,40 @@ def test_the_highest_boost_is_found_by_joins(spark):
     assert {r["qid"]: round(r["max_boost"], 9) for r in found.collect()} == {
         q: round(max([0.0, *(boost(d, asked) for d in docs if d[0] is not None)]), 9) for q, *asked in known
     }
+
+
+def test_terms_are_cut_in_pieces_of_bounded_text(monkeypatch):
+    monkeypatch.setattr(termindex, "TEXT_AT_ONCE", 1000)
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcé", k=3)) for _ in range(rng.randint(0, 40))) for _ in range(300)] + [None, "", "x" * 5000, None]
+    batches = [pa.array(texts, pa.string()), pa.array([], pa.string()), pa.array(texts[:7], pa.string())]
+    cut = [piece for batch in batches for piece in termindex._pieces(batch)]
+    assert all((pc.sum(pc.binary_length(piece[1:])).as_py() or 0) < 1000 for piece in cut)
+    found = list(termindex._char_counts_in_pieces(iter(batches)))
+    assert len(found) == len(cut) > 20
+    expected = [row for batch in batches for row in termindex._char_counts(batch).to_pylist()]
+    assert [row for piece in found for row in piece.to_pylist()] == expected
+
+
+def test_terms_of_a_large_batch_take_bounded_memory():
+    batch = pa.array([f"{i:07d}" * 400 for i in range(6000)], pa.string())  # 16 MB
+    tracemalloc.start()
+    try:
+        rows = sum(len(piece) for piece in termindex._char_counts_in_pieces(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == len(batch) and peak < 5e6  # 1.4 MB; 20.1 MB when a batch was cut at once
+
+
+def test_ranges_are_passed_on_before_the_batch_is_done(monkeypatch):
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: SimpleNamespace(partitionId=lambda: 2)))
+    n = ranges.RANGE_DOCUMENTS
+    vectors = pd.DataFrame({"doc_id": np.arange(100 * n + 7), "terms": [np.array([i % 5, 5 + i % 3], np.int32) for i in range(100 * n + 7)]})
+    vectors["weights"] = [np.array([0.6, 0.8])] * len(vectors)
+    made = list(ranges._ranges(iter([vectors.iloc[:50 * n + 3], vectors.iloc[50 * n + 3:50 * n + 9], vectors.iloc[50 * n + 9:]])))
+    assert max(map(len, made)) <= ranges.RANGES_AT_ONCE
+    rows = pd.concat(made)
+    assert rows["range"].tolist() == [(2 << 32) + i for i in range(101)]
+    assert np.concatenate(rows["doc_ids"].tolist()).tolist() == list(range(100 * n + 7))
+    assert rows["places"].map(len).sum() == 2 * (100 * n + 7)
